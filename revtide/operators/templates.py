@@ -22,6 +22,19 @@ def revisions_with_template(texts: DataFrame, templates: Sequence[str] = TEMPLAT
     )
 
 
+def by_template(tagged: DataFrame) -> DataFrame:
+    """Tagged rows, revisions and pages per template, all templates in one pass.
+
+    Distinct counts go through deduplicated pairs, so no template is counted in one task.
+    """
+    rows = tagged.groupBy("template").agg(F.count(F.lit(1)).alias("n"))
+    revisions = tagged.select("template", "revision_id").distinct().groupBy("template")
+    pages = tagged.select("template", "page_title").distinct().groupBy("template")
+    return rows.join(revisions.agg(F.count(F.lit(1)).alias("revisions")), "template").join(
+        pages.agg(F.count(F.lit(1)).alias("pages")), "template"
+    )
+
+
 def blp_pages(pages: DataFrame) -> DataFrame:
     """Article pages of a page list, each once."""
     return pages.filter(F.col("page_namespace") == 0).dropDuplicates(["page_id"])
