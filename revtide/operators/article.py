@@ -17,7 +17,11 @@ from revtide.operators.timeline import edit_size
 from revtide.plans.runs import ROWS_PER_SLICE, running
 from revtide.schemas import SAMPLE_KEY
 
-ORDER = ["at", "is_mark", "revision_id"]
+# Rows of a timeline by `kind`. At one position an echo comes first and a mark last.
+ECHO, EVENT, MARK = -1, 0, 1
+# Roles of marks.
+NOW, RECENT_FROM = 1, 2
+ORDER = ["at", "kind", "revision_id"]
 
 
 def tag_cuts(samples: DataFrame, *, page: str = "page_id", whole_day: bool = False) -> DataFrame:
@@ -34,43 +38,36 @@ def tag_cuts(samples: DataFrame, *, page: str = "page_id", whole_day: bool = Fal
 def _events(revisions: DataFrame, cuts: DataFrame, *columns: str) -> DataFrame:
     kept = revisions.join(cuts.select("page_id").distinct(), "page_id", "left_semi")
     return kept.select(
-        "page_id", clock.micros("event_timestamp").alias("at"), F.lit(0).alias("is_mark"), "revision_id", *columns
+        "page_id", clock.micros("event_timestamp").alias("at"), F.lit(EVENT).alias("kind"), "revision_id", *columns
     )
 
 
-def latest_edits(cuts: DataFrame, revisions: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLICE) -> DataFrame:
-    """Add `last_at`, the position of the last revision within each cut, and `interval`, `rows_upto`."""
-    marks = cuts.withColumn("at", F.col("upto")).withColumn("is_mark", F.lit(1))
-    line = _events(revisions, cuts).unionByName(marks, allowMissingColumns=True)
-    event = F.col("is_mark") == 0
-    placed = running(
-        line,
-        ["page_id"],
-        ORDER,
-        prior={"last_at": F.when(event, F.col("at"))},
-        total={"marks_seen": F.col("is_mark"), "rows_upto": 1 - F.col("is_mark")},
-        rows_per_slice=rows_per_slice,
-    )
-    return placed.filter(~event).select(
-        "page_id", "tag_date", "upto", "last_at", (F.col("marks_seen") - 1).alias("interval"), "rows_upto"
-    )
+def _run(line: DataFrame, revisions: DataFrame, rows_per_slice: int | None, **outputs) -> DataFrame:
+    sizes = revisions.select("page_id", clock.micros("event_timestamp").alias("at"))
+    placed = running(line, ["page_id"], ORDER, sizes=sizes, rows_per_slice=rows_per_slice, **outputs)
+    # A mark closes the interval that began after the mark before it.
+    return placed.withColumn("interval", F.col("marks_seen") - (F.col("kind") == MARK).cast("int"))
 
 
-def _timeline(revisions: DataFrame, marks: DataFrame, columns: list[str], rows_per_slice: int | None) -> DataFrame:
-    """Events and marks of a page in order, each with the previous event and its interval."""
-    line = _events(revisions, marks, *columns).unionByName(
-        marks.withColumn("is_mark", F.lit(1)), allowMissingColumns=True
+def rows_upto(cuts: DataFrame, revisions: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLICE) -> DataFrame:
+    """Add the number of revisions within each cut, and the number of the interval the cut closes."""
+    marks = cuts.select("page_id", "tag_date", F.col("upto").alias("at"), F.lit(MARK).alias("kind"))
+    placed = _run(
+        _events(revisions, cuts).unionByName(marks, allowMissingColumns=True),
+        revisions,
+        rows_per_slice,
+        total={
+            "marks_seen": (F.col("kind") == MARK).cast("int"),
+            "rows_upto": (F.col("kind") == EVENT).cast("int"),
+        },
     )
+    return placed.filter(F.col("kind") == MARK).select("page_id", "tag_date", "interval", "rows_upto")
+
+
+def _before() -> dict:
+    """The previous revision of the page, whatever lies in between."""
     here = F.struct("at", "event_user_id", F.col("revision_text_bytes").alias("bytes"))
-    placed = running(
-        line,
-        ["page_id"],
-        ORDER,
-        prior={"before": F.when(F.col("is_mark") == 0, here)},
-        total={"marks_seen": F.col("is_mark")},
-        rows_per_slice=rows_per_slice,
-    )
-    return placed.withColumn("interval", F.col("marks_seen") - F.col("is_mark"))
+    return {"before": F.when(F.col("kind") == EVENT, here)}
 
 
 def page_state(
@@ -82,21 +79,33 @@ def page_state(
 ) -> DataFrame:
     """Every page measure as of every cut: one row per (page_id, tag_date) with any revision."""
     reach = F.lit(recent_days * clock.DAY)
-    marks = latest_edits(cuts, revisions, rows_per_slice=rows_per_slice).filter(F.col("last_at").isNotNull())
-    # Three marks per cut: the cut itself, and the two points recent shares are measured from.
-    marks = marks.select(
+    marks = cuts.select(
         "page_id",
         "tag_date",
+        F.lit(MARK).alias("kind"),
         F.inline(
             F.array(
-                F.struct(F.lit("now").alias("role"), F.col("upto").alias("at")),
-                F.struct(F.lit("before_recent_tag").alias("role"), (clock.micros("tag_date") - reach).alias("at")),
-                F.struct(F.lit("before_recent_edit").alias("role"), (F.col("last_at") - reach).alias("at")),
+                F.struct(F.lit(NOW).alias("role"), F.col("upto").alias("at")),
+                F.struct(F.lit(RECENT_FROM).alias("role"), (clock.micros("tag_date") - reach).alias("at")),
             )
         ),
     )
-    line = _timeline(revisions, marks, ["event_user_id", "revision_text_bytes", "revision_minor_edit"], rows_per_slice)
-    event = F.col("is_mark") == 0
+    # An echo follows each revision by the reach of "recent": the echoes up to a revision are the
+    # revisions that are no longer recent when it is the last one.
+    events = _events(revisions, cuts, "event_user_id", "revision_text_bytes", "revision_minor_edit")
+    echoes = events.select("page_id", (F.col("at") + reach).alias("at"), F.lit(ECHO).alias("kind"))
+    line = _run(
+        events.unionByName(echoes, allowMissingColumns=True).unionByName(marks, allowMissingColumns=True),
+        revisions,
+        rows_per_slice,
+        prior=_before(),
+        total={
+            "marks_seen": (F.col("kind") == MARK).cast("int"),
+            "faded": (F.col("kind") == ECHO).cast("int"),
+        },
+    )
+    line = line.filter(F.col("kind") != ECHO)
+    event = F.col("kind") == EVENT
     size = edit_size(F.col("revision_text_bytes"), F.col("before.bytes"))
     wait = clock.elapsed_hours(F.col("at"), F.col("before.at"))
     per_user = line.groupBy("page_id", "event_user_id", "interval").agg(
@@ -107,9 +116,10 @@ def page_state(
         F.sum(F.when(event, F.col("revision_minor_edit").cast("int"))).alias("minor_sum"),
         F.count(F.when(event, F.col("revision_minor_edit"))).alias("minor_n"),
         F.min(F.when(event, F.col("at"))).alias("first_at"),
-        F.max(
-            F.when(event, F.struct("at", "revision_id", F.col("revision_text_bytes").alias("bytes")))
-        ).alias("last_row"),
+        F.max(F.when(event, F.col("faded"))).alias("faded"),
+        # What the mark that closes the interval knows; numbers only, so the aggregate hashes.
+        F.max(F.when(~event, F.col("before.at"))).alias("last_at"),
+        F.max(F.when(~event, F.col("before.bytes"))).alias("last_bytes"),
         F.max("role").alias("role"),
         F.max("tag_date").alias("tag_date"),
     )
@@ -121,11 +131,13 @@ def page_state(
     per_interval = per_user.groupBy("page_id", "interval").agg(
         *[F.sum(c).alias(c) for c in ("n", "size_sum", "size_n", "wait_sum", "minor_sum", "minor_n")],
         F.min("first_at").alias("first_at"),
-        F.max("last_row").alias("last_row"),
+        F.max("last_at").alias("last_at"),
+        F.max("last_bytes").alias("last_bytes"),
         F.sum(F.when(named, F.col("n"))).alias("named_n"),
         F.count_if(named & (had == 0)).alias("editors"),
         F.sum(F.when(named, weight_log(F.col("held")) - weight_log(had))).alias("weighted"),
         F.max(F.when(named, F.col("held"))).alias("top"),
+        F.max("faded").alias("faded"),
         F.max("role").alias("role"),
         F.max("tag_date").alias("tag_date"),
     )
@@ -139,17 +151,23 @@ def page_state(
         "role",
         *[F.coalesce(F.sum(c).over(over_page), F.lit(0)).alias(c) for c in sums],
         F.min("first_at").over(over_page).alias("first_at"),
-        F.max("last_row").over(over_page).alias("last_row"),
+        "last_at",
+        "last_bytes",
         F.max("top").over(over_page).alias("top"),
+        # The last revision has seen the most echoes.
+        F.max("faded").over(over_page).alias("faded"),
     ).filter(F.col("role").isNotNull())
 
-    def at_mark(role: str, column: str):
+    def at_mark(role: int, column: str):
         return F.max(F.when(F.col("role") == role, F.col(column)))
 
-    return state.groupBy("page_id", "tag_date").agg(
-        *[at_mark("now", c).alias(c) for c in [*sums, "first_at", "last_row", "top"]],
-        *[at_mark("before_recent_tag", c).alias(f"{c}_old") for c in ("size_sum", "size_n", "wait_sum", "n")],
-        at_mark("before_recent_edit", "n").alias("n_before_recent_edit"),
+    return (
+        state.groupBy("page_id", "tag_date")
+        .agg(
+            *[at_mark(NOW, c).alias(c) for c in [*sums, "first_at", "last_at", "last_bytes", "top", "faded"]],
+            *[at_mark(RECENT_FROM, c).alias(f"{c}_old") for c in ("size_sum", "size_n", "wait_sum", "n")],
+        )
+        .filter(F.col("n") > 0)
     )
 
 
@@ -158,7 +176,7 @@ def _share_columns():
     return {
         "num_revisions": n,
         "num_editors": F.col("editors").cast("long"),
-        "frac_recent_revisions": ratio(n - F.col("n_before_recent_edit"), n),
+        "frac_recent_revisions": ratio(n - F.col("faded"), n),
         "top_contributor_frac": F.coalesce(ratio(F.col("top"), named_n), F.lit(0.0)),
     }
 
@@ -179,10 +197,10 @@ def article_features(
         "tag_date",
         ratio(F.col("size_sum"), F.col("size_n")).alias("edit_size"),
         ratio(F.col("wait_sum"), n).alias("time_to_respond"),
-        clock.whole_years(F.col("last_row.at"), F.col("first_at")).alias("article_age_years"),
-        F.col("last_row.bytes").alias("curr_size"),
+        clock.whole_years(F.col("last_at"), F.col("first_at")).alias("article_age_years"),
+        F.col("last_bytes").alias("curr_size"),
         ratio(F.col("minor_sum"), F.col("minor_n")).alias("frac_minor_edits"),
-        F.col("last_row.bytes").alias("last_edit_size"),
+        F.col("last_bytes").alias("last_edit_size"),
         *[c.alias(name) for name, c in shares.items()],
         ratio(n - F.col("named_n"), n).alias("frac_anon_revisions"),
         ratio(F.col("editors"), n).alias("concentration_ratio"),
@@ -212,7 +230,7 @@ def talk_volume_features(
         ratio(F.col("size_sum"), F.col("size_n")).alias("mean_edit_size"),
         ratio(F.col("wait_sum"), F.col("n")).alias("mean_response_time"),
     )
-    articles = latest_edits(tag_cuts(with_talk, whole_day=True), revisions, rows_per_slice=rows_per_slice)
+    articles = rows_upto(tag_cuts(with_talk, whole_day=True), revisions, rows_per_slice=rows_per_slice)
     articles = articles.select("page_id", "tag_date", F.col("rows_upto").alias("article_revisions"))
     keyed = with_talk.select(*SAMPLE_KEY, "talk_page_id")
     joined = keyed.join(articles, ["page_id", "tag_date"], "left").join(talk, ["talk_page_id", "tag_date"], "left")
@@ -234,14 +252,20 @@ def user_article_features(
     earlier editor in the later revision's interval, so a cut needs no repair of its last row.
     """
     tags = tag_cuts(samples)
-    marks = tags.select("page_id", "tag_date", F.col("upto").alias("at"))
+    marks = tags.select("page_id", F.col("upto").alias("at"), F.lit(MARK).alias("kind"))
     columns = [
         "event_user_id",
         "revision_text_bytes",
         "revision_is_identity_reverted",
         "revision_is_identity_revert",
     ]
-    line = _timeline(revisions, marks, columns, rows_per_slice).filter(F.col("is_mark") == 0)
+    line = _run(
+        _events(revisions, tags, *columns).unionByName(marks, allowMissingColumns=True),
+        revisions,
+        rows_per_slice,
+        prior=_before(),
+        total={"marks_seen": (F.col("kind") == MARK).cast("int")},
+    ).filter(F.col("kind") == EVENT)
     change = F.abs(F.col("revision_text_bytes") - F.col("before.bytes"))
     zero = F.lit(0)
     size = edit_size(F.col("revision_text_bytes"), F.col("before.bytes"))
@@ -294,9 +318,9 @@ def user_article_features(
         .filter(F.col("from_interval") <= until)
         .withColumn("interval", F.explode(F.sequence("from_interval", until)))
     )
-    cuts = latest_edits(tags, revisions, rows_per_slice=rows_per_slice)
+    cuts = rows_upto(tags, revisions, rows_per_slice=rows_per_slice)
     n = F.col("n")
-    features = held.join(cuts.select("page_id", "interval", "tag_date", "rows_upto"), ["page_id", "interval"]).select(
+    features = held.join(cuts, ["page_id", "interval"]).select(
         "page_id",
         "tag_date",
         "event_user_id",

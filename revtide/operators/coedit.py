@@ -24,8 +24,12 @@ USERS_PER_BLOCK = 2_000
 
 
 def page_user_counts(history: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Revisions of each named user on each page, with the namespace of the first one there."""
-    place = F.struct("event_timestamp", "revision_id")
+    """Revisions of each named user on each page, with the namespace of the first one there.
+
+    A page is in one namespace at a time, so equal times need no further order; a plain number to
+    order by keeps the aggregate hashed.
+    """
+    place = clock.micros("event_timestamp")
     return history.filter(F.col("event_user_id").isNotNull()).groupBy(*by, "page_id", "event_user_id").agg(
         F.count("revision_id").alias("revisions_count"),
         F.min_by("page_namespace", place).alias("page_namespace"),
@@ -70,7 +74,8 @@ def sample_page_users(
         .groupBy("event_user_id", "page_id", "started", "ended")
         .agg(
             F.count("revision_id").alias("revisions_count"),
-            F.min(F.struct("at", "revision_id", "page_namespace")).alias("first_row"),
+            F.min("at").alias("first_at"),
+            F.min_by("page_namespace", "at").alias("page_namespace"),
         )
     )
     ranked = tags.withColumn(
@@ -79,7 +84,10 @@ def sample_page_users(
     per_tag = (
         counted.withColumn("tag_rank", F.explode(F.sequence(F.col("ended") + 1, F.col("started"))))
         .groupBy("event_user_id", "tag_rank", "page_id")
-        .agg(F.sum("revisions_count").alias("revisions_count"), F.min("first_row").alias("first_row"))
+        .agg(
+            F.sum("revisions_count").alias("revisions_count"),
+            F.min_by("page_namespace", "first_at").alias("page_namespace"),
+        )
         .join(ranked, ["event_user_id", "tag_rank"])
     )
     return editors.join(per_tag.withColumnRenamed("page_id", "edited_page_id"), ["event_user_id", "tag_date"]).select(
@@ -87,7 +95,7 @@ def sample_page_users(
         "edited_page_id",
         "event_user_id",
         "revisions_count",
-        F.col("first_row.page_namespace").alias("page_namespace"),
+        "page_namespace",
     )
 
 

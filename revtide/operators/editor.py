@@ -47,6 +47,7 @@ def user_timeline(
     columns: Sequence[str],
     total: Mapping[str, Column],
     rows_per_slice: int | None,
+    prior: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """History rows and marks of each user in order, with running totals over marks."""
     kept = history.join(marks.select("event_user_id").distinct(), "event_user_id", "left_semi").select(
@@ -57,6 +58,8 @@ def user_timeline(
         ["event_user_id"],
         ["at", "is_mark", "revision_id"],
         total=total,
+        prior=prior,
+        sizes=history.select("event_user_id", clock.micros("event_timestamp").alias("at")),
         rows_per_slice=rows_per_slice,
     )
 
@@ -78,15 +81,15 @@ def editor_state(cuts: DataFrame, history: DataFrame, *, rows_per_slice: int | N
         "num_curr_blocks",
         "event_user_registration_timestamp",
     ]
-    line = user_timeline(history, marks, columns, {"marks_seen": F.col("is_mark")}, rows_per_slice)
     event = F.col("is_mark") == 0
-    latest = F.struct(
-        "at",
-        "revision_id",
-        "num_groups",
-        "num_blocks_historical",
-        "num_curr_blocks",
-        "event_user_registration_timestamp",
+    latest = ["num_groups", "num_blocks_historical", "num_curr_blocks", "event_user_registration_timestamp"]
+    line = user_timeline(
+        history,
+        marks,
+        columns,
+        {"marks_seen": F.col("is_mark")},
+        rows_per_slice,
+        prior={"before": F.when(event, F.struct(*latest))},
     )
     per_page = line.groupBy(
         "event_user_id", "page_id", (F.col("marks_seen") - F.col("is_mark")).alias("interval")
@@ -97,7 +100,8 @@ def editor_state(cuts: DataFrame, history: DataFrame, *, rows_per_slice: int | N
         F.count_if(event & (F.col("page_namespace") == 1)).alias("talks"),
         F.sum(F.when(event, F.col("revision_is_identity_revert").cast("long"))).alias("revert"),
         F.sum(F.when(event, F.col("revision_is_identity_reverted").cast("long"))).alias("reverted"),
-        F.max(F.when(event, latest)).alias("latest"),
+        # The revision before the tag, as the mark saw it; plain columns, so the aggregate hashes.
+        *[F.max(F.when(~event, F.col(f"before.{c}"))).alias(c) for c in latest],
         F.max("tag_date").alias("tag_date"),
     )
     of_page = Window.partitionBy("event_user_id", "page_id").orderBy("interval")
@@ -109,7 +113,7 @@ def editor_state(cuts: DataFrame, history: DataFrame, *, rows_per_slice: int | N
         *[F.sum(c).alias(c) for c in sums],
         F.count_if(on_page & (F.col("had") == 0)).alias("pages"),
         F.sum(F.when(on_page, weight_log(F.col("held")) - weight_log(F.col("had")))).alias("weighted"),
-        F.max("latest").alias("latest"),
+        *[F.max(c).alias(c) for c in latest],
         F.max("tag_date").alias("tag_date"),
     )
     over_user = (
@@ -122,7 +126,7 @@ def editor_state(cuts: DataFrame, history: DataFrame, *, rows_per_slice: int | N
         "tag_date",
         *[F.sum(c).over(over_user).alias(c) for c in [*sums, "pages"]],
         F.coalesce(F.sum("weighted").over(over_user), F.lit(0.0)).alias("weighted"),
-        F.max("latest").over(over_user).alias("latest"),
+        *latest,
     ).filter(F.col("tag_date").isNotNull() & (F.col("rows") > 0))
 
 
@@ -143,14 +147,14 @@ def editor_features(
     features = state.select(
         "event_user_id",
         "tag_date",
-        F.col("latest.num_groups").alias("num_groups"),
+        F.col("num_groups").alias("num_groups"),
         F.col("pages").alias("num_articles"),
         F.col("edits").alias("num_edits"),
-        F.col("latest.num_blocks_historical").alias("num_past_blocks"),
-        F.col("latest.num_curr_blocks").alias("num_curr_blocks"),
+        F.col("num_blocks_historical").alias("num_past_blocks"),
+        F.col("num_curr_blocks"),
         F.col("revert").alias("num_reverts_by_others"),
         F.col("reverted").alias("num_reverts_of_others"),
-        F.datediff("tag_date", "latest.event_user_registration_timestamp").alias("time_since_registration"),
+        F.datediff("tag_date", "event_user_registration_timestamp").alias("time_since_registration"),
         ratio(F.col("articles") + 1, F.col("talks") + 1).alias("talk_article_ratio"),
         share_entropy(F.col("rows"), F.col("weighted")).alias("contribution_frac_entropy"),
     )

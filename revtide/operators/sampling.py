@@ -112,19 +112,20 @@ def nearest_snapshot(
         .distinct()
         .select("talk_page_id", "tag_date", (sign * clock.micros("tag_date")).alias("at"), F.lit(1).alias("is_mark"))
     )
-    rows = snapshots.select(
+    placed = snapshots.select(
         F.col("page_id").alias("talk_page_id"),
         (sign * clock.micros("event_timestamp")).alias("at"),
         F.lit(0).alias("is_mark"),
         (sign * F.col("revision_id")).alias("rank_id"),
         F.struct("event_timestamp", "revision_id").alias("snapshot"),
     )
-    rows = rows.join(marks.select("talk_page_id").distinct(), "talk_page_id", "left_semi")
+    rows = placed.join(marks.select("talk_page_id").distinct(), "talk_page_id", "left_semi")
     found = running(
         rows.unionByName(marks, allowMissingColumns=True),
         ["talk_page_id"],
         ["at", "is_mark", "rank_id"],
         prior={"nearest": F.col("snapshot")},
+        sizes=placed,
         rows_per_slice=rows_per_slice,
     )
     gap = clock.elapsed_days(clock.micros("nearest.event_timestamp"), clock.micros("tag_date"))

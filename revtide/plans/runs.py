@@ -38,6 +38,7 @@ def running(
     following: Mapping[str, Column] | None = None,
     total: Mapping[str, Column] | None = None,
     peak: Mapping[str, Column] | None = None,
+    sizes: DataFrame | None = None,
     rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Add running columns to `df`.
@@ -48,6 +49,8 @@ def running(
     peak       maximum up to and including the row
 
     `order` holds numeric columns, ascending; the first one is the position slices are cut on.
+    `sizes` is a cheaper frame with the keys and the position to measure keys on, such as the plain
+    scan below a `df` that joins or unions more onto it.
     `rows_per_slice=None` skips slicing, for keys whose size is bounded anyway.
     """
     prior, following = dict(prior or {}), dict(following or {})
@@ -58,8 +61,9 @@ def running(
 
     group = list(keys)
     if rows_per_slice is not None:
-        large = large_keys(df, keys, order[0], rows_per_slice)
-        piece = 1 + F.floor((F.col(order[0]) - F.col("_from")) / F.col("_width")).cast("int")
+        large = large_keys(df if sizes is None else sizes, keys, order[0], rows_per_slice)
+        # Rows outside the measured span join the first or the last slice's side of the order.
+        piece = F.when(F.col("_from").isNotNull(), F.greatest(F.lit(1), 1 + F.floor((F.col(order[0]) - F.col("_from")) / F.col("_width")).cast("int")))
         group = [*keys, "_slice"]
 
         def slice_rows(how: str) -> DataFrame:
