@@ -20,7 +20,7 @@ from revtide.operators.sampling import sample_editors
 from revtide.plans.runs import ROWS_PER_SLICE
 from revtide.schemas import SAMPLE_KEY
 
-USERS_PER_BLOCK = 2_000
+USERS_PER_BLOCK = 10_000
 
 
 def page_user_counts(history: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -548,15 +548,16 @@ def f1_accuracy(spark, folder):
 
 @query
 def experiment_report(spark, folder):
+    samples = settle(T.samples(spark, folder))
     blocks = jobs.feature_blocks(
-        T.samples(spark, folder),
+        samples,
         T.revisions(spark, folder),
         T.revisions(spark, folder),
         T.talk_texts(spark, folder),
         period="10 DAYS",
         lexicon=LEXICON,
     )
-    return jobs.run_experiments(T.samples(spark, folder), blocks)
+    return jobs.run_experiments(samples, blocks)
 
 
 # -- graphs --------------------------------------------------------------------------------------
@@ -564,7 +565,7 @@ def experiment_report(spark, folder):
 
 def _graph(spark, folder):
     rows = T.revisions(spark, folder)
-    return jobs.editor_graph(T.samples(spark, folder), rows, rows, VERTEX_FEATURES, period="10 DAYS")
+    return jobs.editor_graph(settle(T.samples(spark, folder)), rows, rows, VERTEX_FEATURES, period="10 DAYS")
 
 
 @query

@@ -1,10 +1,11 @@
 """Ordered running values per key that stay balanced when one key holds a large share of all rows.
 
-A plain window puts a whole key into one task. Here a key with more than `rows_per_slice` rows is
-cut along its order into slices of its own span; the window runs per (key, slice), and what crosses
-a slice border (last value, next value, running sum, running maximum) is carried over from a table
-with one row per slice. That table and the list of large keys have at most
-2 * total_rows / rows_per_slice rows, which is what makes broadcasting them safe.
+A plain window puts a whole key into one task. Here a key with more than LARGE * `rows_per_slice`
+rows is cut along its order into equal slices of its own span, about `rows_per_slice` rows each; the
+window runs per (key, slice), and what crosses a slice border (last value, next value, running sum,
+running maximum) is carried over from a table with one row per slice. That table and the list of
+large keys have at most 2 * total_rows / rows_per_slice rows, which is what makes broadcasting them
+safe. Rows of one key at one and the same position cannot be told apart by it and share a slice.
 
 Ordinary keys stay in one slice: for them the plan is one shuffle, one sort and one window.
 """
@@ -16,7 +17,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_SLICE = 2_000_000
+ROWS_PER_SLICE = 500_000
+LARGE = 4
 
 
 def large_keys(df: DataFrame, keys: Sequence[str], position: str, rows_per_slice: int) -> DataFrame:
@@ -26,7 +28,7 @@ def large_keys(df: DataFrame, keys: Sequence[str], position: str, rows_per_slice
     )
     slices = F.ceil(F.col("_rows") / F.lit(rows_per_slice))
     width = F.floor((F.col("_to") - F.col("_from")) / slices).cast("long") + 1
-    return sized.filter(F.col("_rows") > rows_per_slice).select(*keys, "_from", width.alias("_width"))
+    return sized.filter(F.col("_rows") > LARGE * rows_per_slice).select(*keys, "_from", width.alias("_width"))
 
 
 def running(
