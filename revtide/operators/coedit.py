@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revtide.functions import clock
@@ -117,27 +117,40 @@ def _pairs(
     blocks = F.coalesce("_blocks", F.lit(1))
     placed = page_users.join(F.broadcast(crowded), group, "left").select(
         *group,
-        F.struct("event_user_id", "revisions_count", "page_namespace").alias("user"),
+        "event_user_id",
+        "revisions_count",
+        "page_namespace",
         blocks.alias("_blocks"),
         F.pmod(F.xxhash64("event_user_id"), blocks).cast("int").alias("_block"),
     )
-    left = placed.select(
-        *group,
-        F.col("user").alias("one"),
-        F.col("_block").alias("_low"),
-        F.explode(F.sequence("_block", F.col("_blocks") - 1)).alias("_high"),
-    )
-    right = placed.select(
+
+    def side(suffix: str, low: Column, high: Column) -> DataFrame:
+        return placed.select(
+            *group,
+            F.col("event_user_id").alias(f"user_{suffix}"),
+            F.col("revisions_count").alias(f"count_{suffix}"),
+            F.col("page_namespace").alias(f"ns_{suffix}"),
+            low.alias("_low"),
+            high.alias("_high"),
+        )
+
+    left = side("1", F.col("_block"), F.explode(F.sequence("_block", F.col("_blocks") - 1)))
+    right = side("2", F.explode(F.sequence(F.lit(0), "_block")), F.col("_block"))
+    ordered = F.col("user_1") < F.col("user_2")
+    met = left.join(right, [*group, "_low", "_high"]).filter((F.col("_low") < F.col("_high")) | ordered)
+
+    def pick(first: str, second: str) -> Column:
+        return F.when(ordered, F.col(first)).otherwise(F.col(second))
+
+    return met.select(
         *group,
-        F.col("user").alias("two"),
-        F.explode(F.sequence(F.lit(0), "_block")).alias("_low"),
-        F.col("_block").alias("_high"),
+        F.least("user_1", "user_2").alias("user_a"),
+        F.greatest("user_1", "user_2").alias("user_b"),
+        pick("count_1", "count_2").alias("count_a"),
+        pick("count_2", "count_1").alias("count_b"),
+        pick("ns_1", "ns_2").alias("ns_a"),
+        pick("ns_2", "ns_1").alias("ns_b"),
     )
-    ordered = F.col("one.event_user_id") < F.col("two.event_user_id")
-    met = left.join(right, [*group, "_low", "_high"]).filter((F.col("_low") < F.col("_high")) | ordered)
-    a = F.when(ordered, F.col("one")).otherwise(F.col("two"))
-    b = F.when(ordered, F.col("two")).otherwise(F.col("one"))
-    return met.select(*group, a.alias("a"), b.alias("b"))
 
 
 def user_interactions(
@@ -150,22 +163,17 @@ def user_interactions(
     """Every ordered pair of different users on a page, with both sides' counts and namespaces."""
     pairs = _pairs(page_users, by, page, users_per_block)
     # Forward and mirrored rows of one pair.
-    both = F.inline(
-        F.array(
-            F.struct(F.col("a").alias("u"), F.col("b").alias("v")),
-            F.struct(F.col("b").alias("u"), F.col("a").alias("v")),
+    def row(one: str, other: str) -> Column:
+        return F.struct(
+            F.col(f"user_{one}").alias("event_user_id"),
+            F.col(f"count_{one}").alias("revisions_count"),
+            F.col(f"ns_{one}").alias("page_namespace"),
+            F.col(f"user_{other}").alias("event_user_id_r"),
+            F.col(f"count_{other}").alias("revisions_count_r"),
+            F.col(f"ns_{other}").alias("page_namespace_r"),
         )
-    )
-    return pairs.select(*by, page, both).select(
-        *by,
-        page,
-        F.col("u.event_user_id").alias("event_user_id"),
-        F.col("u.revisions_count").alias("revisions_count"),
-        F.col("u.page_namespace").alias("page_namespace"),
-        F.col("v.event_user_id").alias("event_user_id_r"),
-        F.col("v.revisions_count").alias("revisions_count_r"),
-        F.col("v.page_namespace").alias("page_namespace_r"),
-    )
+
+    return pairs.select(*by, page, F.inline(F.array(row("a", "b"), row("b", "a"))))
 
 
 def pair_counts(
@@ -177,15 +185,13 @@ def pair_counts(
 ) -> DataFrame:
     """One row per unordered pair (user_a < user_b): common pages, common articles, own revisions."""
     pairs = _pairs(page_users, by, page, users_per_block)
-    a_article, b_article = F.col("a.page_namespace") == 0, F.col("b.page_namespace") == 0
-    return pairs.groupBy(
-        *by, F.col("a.event_user_id").alias("user_a"), F.col("b.event_user_id").alias("user_b")
-    ).agg(
+    a_article, b_article = F.col("ns_a") == 0, F.col("ns_b") == 0
+    return pairs.groupBy(*by, "user_a", "user_b").agg(
         F.count(page).alias("num_common_pages"),
         F.count_if(a_article).alias("articles_a"),
         F.count_if(b_article).alias("articles_b"),
-        F.sum(F.when(a_article, F.col("a.revisions_count"))).alias("revisions_a"),
-        F.sum(F.when(b_article, F.col("b.revisions_count"))).alias("revisions_b"),
+        F.sum(F.when(a_article, F.col("count_a"))).alias("revisions_a"),
+        F.sum(F.when(b_article, F.col("count_b"))).alias("revisions_b"),
     )
 
 
