@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -60,7 +62,9 @@ def pattern(marker: Marker, *, start: bool) -> str:
 
 
 def marker_count(words: Column, marker: Marker) -> Column:
+    """Occurrences of a marker in `spaced_words`; the pattern only runs where one of its words occurs."""
     anywhere = F.regexp_count(words, F.lit(pattern(marker, start=False)))
     leading = F.regexp_count(words, F.lit(pattern(marker, start=True)))
     counted = {"any": anywhere, "start": leading, "inner": anywhere - leading}[marker.position]
-    return counted.cast("int").alias(marker.strategy)
+    present = reduce(or_, [words.contains(f" {w.replace(' ', '  ')} ") for w in marker.words])
+    return F.when(present, counted).otherwise(F.lit(0)).cast("int").alias(marker.strategy)

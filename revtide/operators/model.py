@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revtide.functions.numbers import known, ratio
+from revtide.session import settle
 
 # The regression's inverse penalty and iteration limit.
 INVERSE_PENALTY = 10_000.0
@@ -153,9 +154,12 @@ def f1_accuracy(df: DataFrame, by: Sequence[str] = (), prediction: str = "predic
 def run_experiment(
     df: DataFrame, features: Sequence[str], key: Sequence[str], label: str = "label", buckets: int = 4
 ) -> DataFrame:
-    """Impute, split, scale on the training rows, fit, and score the held-out rows."""
-    prepared = train_test_split(impute_zero(df, features), key, buckets)
-    scaled = standard_scale(prepared, features, ~F.col("is_test"))
+    """Impute, split, scale on the training rows, fit, and score the held-out rows.
+
+    The narrow feature rows are written once; fitting and scoring read those, not their sources.
+    """
+    rows = impute_zero(df.select(*key, label, *features), features)
+    scaled = standard_scale(settle(train_test_split(rows, key, buckets)), features, ~F.col("is_test"))
     train = scaled.filter(~F.col("is_test"))
     model = fit_logistic(train, features, label)
     return score_logistic(model, scaled.filter("is_test"), features)

@@ -134,3 +134,54 @@ def run_experiments(samples: DataFrame, blocks: Mapping[str, DataFrame]) -> Data
         return rows.select(F.lit(name).alias("feature_set"), "label", "score", "prediction")
 
     return model.experiment_report(settle(reduce(DataFrame.unionByName, [scored(n, d) for n, d in sets.items()])))
+
+
+def activity_documents(samples: DataFrame, revisions: DataFrame) -> DataFrame:
+    """Per sample: its article features as a struct and its editors' features as an array."""
+    features = article.article_features(samples, revisions)
+    nested = features.select(
+        *SAMPLE_KEY, F.struct(*[c for c in features.columns if c not in SAMPLE_KEY]).alias("article")
+    )
+    editors = files.feature_documents(article.user_article_features(samples, revisions), SAMPLE_KEY, "user_article")
+    return _whole(nested.join(editors, SAMPLE_KEY, "left"))
+
+
+def editor_documents(
+    samples: DataFrame, revisions: DataFrame, history: DataFrame, *, period: str = "1 YEAR"
+) -> dict[str, DataFrame]:
+    """Per sample: arrays of editor features, of directed and of undirected co-editing features."""
+    users = settle(coedit.sample_page_users(samples, revisions, history, period=period))
+    items = {
+        "editor": editor.editor_features(samples, revisions, history),
+        "directed": coedit.directed_features(users, SAMPLE_KEY, page=EDITED),
+        "undirected": coedit.undirected_features(users, SAMPLE_KEY, page=EDITED),
+    }
+    return {name: files.feature_documents(df, SAMPLE_KEY, name) for name, df in items.items()}
+
+
+def talk_documents(
+    samples: DataFrame, revisions: DataFrame, texts: DataFrame, lexicon: Sequence[M.Marker] = M.LEXICON
+) -> dict[str, DataFrame]:
+    """Per sample: talk volume as a struct, and per conversation the marker counts of its utterances."""
+    volume = article.talk_volume_features(samples, revisions)
+    nested = volume.select(
+        *SAMPLE_KEY, F.struct(*[c for c in volume.columns if c not in SAMPLE_KEY]).alias("talk_volume")
+    )
+    counts = language_counts(samples, texts, lexicon).drop("talk_page_id", "revision_id")
+    return {
+        "talk_volume": nested,
+        "talk_language": files.feature_documents(counts, [*SAMPLE_KEY, "conv_id"], "utterances"),
+    }
+
+
+def _whole(documents: DataFrame) -> DataFrame:
+    """A sample without items is a document of one part."""
+    return documents.withColumns(
+        {"parts": F.coalesce("parts", F.lit(1)), "part": F.coalesce("part", F.lit(0))}
+    )
+
+
+def write_documents(documents: Mapping[str, DataFrame], out: str) -> None:
+    """Each kind of document below its own folder, all templates in one job per kind."""
+    for name, df in documents.items():
+        files.write_json(df, f"{out}/{name}")

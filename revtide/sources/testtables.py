@@ -188,8 +188,8 @@ def document_features(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select(
         "doc_id",
         F.col("n_chars").cast("double").alias("n_chars"),
-        F.length(F.regexp_replace("text", "[^.]", "")).cast("double").alias("n_stops"),
-        F.length(F.regexp_replace("text", "[^,]", "")).cast("double").alias("n_commas"),
+        (F.length("text") - F.length(F.translate("text", ".", ""))).cast("double").alias("n_stops"),
+        (F.length("text") - F.length(F.translate("text", ",", ""))).cast("double").alias("n_commas"),
         F.when(F.col("lang") == "en", 1.0).otherwise(0.0).alias("is_en"),
         F.when(F.col("doc_id") % 3 != 0, F.col("n_chars") % 17).cast("double").alias("sparse"),
         F.lit(1.0).alias("constant"),

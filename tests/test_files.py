@@ -125,3 +125,23 @@ def test_feature_document_holds_every_editor(spark):
     rows_ = user_article_features(samples(spark, [("advert", 2, 100, None, 1)]), history)
     doc = files.feature_documents(rows_, SAMPLE_KEY, "user_article").first()
     assert [u.event_user_id for u in doc.user_article] == [1, 2, 3] and doc.parts == 1
+
+
+def test_documents_of_all_kinds(spark):
+    out = scratch_path(spark, "documents")
+    tagged, history = testtables.samples(spark, SF), testtables.revisions(spark, SF)
+    kinds = {
+        "activity": jobs.activity_documents(tagged, history),
+        **jobs.editor_documents(tagged, history, history, period="10 DAYS"),
+        **jobs.talk_documents(tagged, history, testtables.talk_texts(spark, SF)),
+    }
+    jobs.write_documents(kinds, out)
+    activity = spark.read.json(f"{out}/activity")
+    assert activity.count() == tagged.count() and set(activity.select("template").distinct().toPandas().template) <= set(schemas.TEMPLATES)
+    one = activity.filter("article.num_editors > 3").first()
+    assert len(one.user_article) == one.article.num_editors
+    editors = spark.read.json(f"{out}/editor").first()
+    assert {"num_groups", "event_user_id"} <= set(editors.editor[0].asDict())
+    assert spark.read.json(f"{out}/directed").count() > 0 and spark.read.json(f"{out}/undirected").count() > 0
+    assert spark.read.json(f"{out}/talk_volume").count() == tagged.filter("talk_page_id is not null").count()
+    assert "reply_depth" in spark.read.json(f"{out}/talk_language").first().utterances[0].asDict()
