@@ -19,6 +19,7 @@ from revtide.operators.editor import user_timeline
 from revtide.operators.sampling import sample_editors
 from revtide.plans.runs import ROWS_PER_SLICE
 from revtide.schemas import SAMPLE_KEY
+from revtide.session import settle
 
 USERS_PER_BLOCK = 10_000
 
@@ -50,7 +51,7 @@ def sample_page_users(
     end in the order of their tags, so a revision lies in the periods of tags e+1 .. s, where s
     starts and e ends came before it: counts per (user, page, s, e) are spread over just those tags.
     """
-    editors = sample_editors(samples, revisions)
+    editors = settle(sample_editors(samples, revisions))
     tags = editors.select("event_user_id", "tag_date").distinct()
     start = clock.micros(F.col("tag_date") - F.expr(f"INTERVAL {period}")) - 1
     marks = tags.select(

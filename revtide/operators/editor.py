@@ -12,6 +12,7 @@ from revtide.functions.numbers import ratio, share_entropy, weight_log
 from revtide.operators.sampling import sample_editors
 from revtide.plans.runs import ROWS_PER_SLICE, running
 from revtide.schemas import SAMPLE_KEY
+from revtide.session import settle
 
 
 def exclude_users(df: DataFrame, users: Sequence[int]) -> DataFrame:
@@ -139,10 +140,13 @@ def editor_features(
 ) -> DataFrame:
     """Ten features per (sample, editor of the page by the tag).
 
+    The list of editors is written once: it marks the histories, filters them and receives the
+    result, and its known file size decides whether the filter is broadcast.
+
     `num_reverts_by_others` sums is_revert and `num_reverts_of_others` sums is_reverted: the
     established column names, although they read swapped.
     """
-    editors = sample_editors(samples, revisions)
+    editors = settle(sample_editors(samples, revisions))
     state = editor_state(editors, history, rows_per_slice=rows_per_slice)
     features = state.select(
         "event_user_id",

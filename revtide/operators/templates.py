@@ -25,13 +25,15 @@ def revisions_with_template(texts: DataFrame, templates: Sequence[str] = TEMPLAT
 def by_template(tagged: DataFrame) -> DataFrame:
     """Tagged rows, revisions and pages per template, all templates in one pass.
 
-    Distinct counts go through deduplicated pairs, so no template is counted in one task.
+    Distinct values are counted level by level (revision, page, template), so the few templates
+    never gather their rows in one task. A revision belongs to one page.
     """
-    rows = tagged.groupBy("template").agg(F.count(F.lit(1)).alias("n"))
-    revisions = tagged.select("template", "revision_id").distinct().groupBy("template")
-    pages = tagged.select("template", "page_title").distinct().groupBy("template")
-    return rows.join(revisions.agg(F.count(F.lit(1)).alias("revisions")), "template").join(
-        pages.agg(F.count(F.lit(1)).alias("pages")), "template"
+    per_revision = tagged.groupBy("template", "page_title", "revision_id").agg(F.count(F.lit(1)).alias("n"))
+    per_page = per_revision.groupBy("template", "page_title").agg(
+        F.sum("n").alias("n"), F.count(F.lit(1)).alias("revisions")
+    )
+    return per_page.groupBy("template").agg(
+        F.sum("n").alias("n"), F.sum("revisions").alias("revisions"), F.count(F.lit(1)).alias("pages")
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from revtide.functions import markers as M
 from revtide.operators.rollup import EDITOR, USER_ARTICLE
 
@@ -147,7 +149,7 @@ _VIEWS["talk_rows"] = _metrics(
 _VIEWS["talk_volume"] = f"""
 SELECT s.template, s.page_id, s.tag_date, num_revisions, num_editors, frac_recent_revisions,
   CASE WHEN num_revisions IS NOT NULL THEN coalesce(top_contributor_frac, 0) END top_contributor_frac,
-  mean_edit_size, mean_response_time, article_n / num_revisions page_talk_ratio
+  mean_edit_size, mean_response_time, coalesce(article_n, 0) / num_revisions page_talk_ratio
 FROM samples s LEFT JOIN (
   SELECT {K}, count(*) num_revisions, count(DISTINCT event_user_id) num_editors,
     count(*) FILTER (WHERE event_timestamp > last_ts - INTERVAL 2 DAY) / count(*) frac_recent_revisions,
@@ -512,8 +514,6 @@ FROM loops l JOIN vertices v ON {_on('l', 'v')} AND v.vertex = l.src GROUP BY AL
 
 def _used(text: str) -> list[str]:
     """Views a text refers to, in definition order, with what they refer to in turn."""
-    import re
-
     found: set[str] = set()
     todo = [text]
     while todo:
@@ -564,17 +564,12 @@ _DOUBLES = {
 
 
 def _columns(name: str) -> str:
-    replaced = [f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}" for c in _DOUBLES.get(name, "").split()]
+    doubles = _DOUBLES.get(name, "").split()
     if name.startswith("rollup_"):
-        lead = "* REPLACE (" + ", ".join(replaced) + ")" if replaced else "*"
         # Every mean_, std_ and max_ column is a double.
         source = _FINAL[name] if "mean_" in _FINAL[name] else _VIEWS["roll_user_article"]
-        import re
-
-        names = list(dict.fromkeys(re.findall(r"\b((?:mean|std|max)_\w+)", source)))
-        replaced += [f"round({c}, 6) + 0.0 AS {c}" for c in names]
-        lead = "* REPLACE (" + ", ".join(replaced) + ")"
-        return lead
+        doubles += dict.fromkeys(re.findall(r"\b((?:mean|std|max)_\w+)", source))
+    replaced = [f"round(CAST({c} AS DOUBLE), 6) + 0.0 AS {c}" for c in doubles]
     return "* REPLACE (" + ", ".join(replaced) + ")" if replaced else "*"
 
 

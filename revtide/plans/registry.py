@@ -214,7 +214,7 @@ def history_subset(spark, folder):
 @query
 def flag_has_template(spark, folder):
     rows = T.revisions(spark, folder).select("page_id", "page_title", "revision_id", "event_timestamp")
-    return templates.flag_has_template(rows, templates.revisions_with_template(T.wikitext(spark, folder)))
+    return templates.flag_has_template(rows, settle(templates.revisions_with_template(T.wikitext(spark, folder))))
 
 
 @query
