@@ -391,6 +391,9 @@ _FINAL = {
     "read_labels": "SELECT page_id, tag_date FROM samples",
     "partition_by_page": f"SELECT {_KEEP} FROM revisions WHERE page_namespace = 1",
     "load_all": f"SELECT {_KEEP}, template FROM revisions WHERE has_template = 1",
+    "feature_document": f"""SELECT {K}, 1 parts, 0 part, CAST(count(*) AS INTEGER) n_editors,
+  string_agg(CAST(event_user_id AS VARCHAR), ',' ORDER BY event_user_id) editors, CAST(sum(num_edits) AS BIGINT) n_edits
+FROM user_article GROUP BY {K}""",
     "resume_pending": "SELECT * FROM samples WHERE tag_date >= TIMESTAMP '2024-01-21'",
     "blp_pages": "SELECT DISTINCT page_id, page_namespace FROM revisions WHERE page_namespace = 0",
     "semi_by_ids": f"SELECT {_KEEP} FROM revisions SEMI JOIN samples USING (page_id)",

@@ -108,7 +108,17 @@ def load_all(spark, folder):
 @query
 def feature_document(spark, folder):
     rows = article.user_article_features(T.samples(spark, folder), T.revisions(spark, folder))
-    return files.feature_documents(rows, SAMPLE_KEY, "user_article")
+    documents = files.feature_documents(rows, SAMPLE_KEY, "user_article")
+    users = F.transform("user_article", lambda u: u["event_user_id"].cast("string"))
+    edits = F.aggregate("user_article", F.lit(0).cast("long"), lambda total, u: total + u["num_edits"])
+    return documents.select(
+        *SAMPLE_KEY,
+        "parts",
+        "part",
+        F.size("user_article").alias("n_editors"),
+        F.array_join(users, ",").alias("editors"),
+        edits.alias("n_edits"),
+    )
 
 
 @query

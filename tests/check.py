@@ -25,7 +25,7 @@ def connect(folder: str):
 
 def _plain(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else f"{value:.6g}"
+        return "nan" if math.isnan(value) else repr(value)
     return str(value)
 
 
@@ -35,7 +35,7 @@ def _kind(value) -> str:
 
 def compare(spark_df, con, sql: str) -> str | None:
     """None when both sides agree, else what differs."""
-    left = spark_df.toPandas() if False else spark_df.collect()
+    left = spark_df.collect()
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
     right = cursor.fetchall()
