@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revtide.llm import html, quality, secrets, urls
+from revtide.llm import bpe, contamination, html, quality, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
     for fn in (
         secrets.op1_secret_scan,
         quality.op2_quality_classifier,
+        bpe.op3_bpe,
         urls.op4_url_filter,
+        contamination.op5_decontamination,
         html.op10_html_main_text,
     )
 }
