@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revtide.llm import bpe, contamination, html, quality, secrets, urls
+from revtide.llm import bpe, contamination, html, quality, rules, secrets, surrogates, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
@@ -16,6 +16,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bpe.op3_bpe,
         urls.op4_url_filter,
         contamination.op5_decontamination,
+        rules.op6_quality_rules,
+        surrogates.op9_pii_surrogates,
         html.op10_html_main_text,
     )
 }
