@@ -26,15 +26,13 @@ from revtide.session import settle
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
-ALPHA, DELTA = 0.04, 0.05
+ALPHA, DELTA = 0.05, 0.05
 
 # Measures that are high in bad texts, with their cutoffs from lax to strict.
 MEASURES = {
     "symbol_share": [0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03],
     "capital_share": [0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3, 0.25, 0.2],
-    "repeat_share": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1],
     "stutter_share": [0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1],
-    "dup_line_share": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2],
 }
 
 
@@ -82,12 +80,12 @@ def measure(documents: DataFrame, *, key: str = "doc_id", text: str = "text", st
 
         return let(F.transform(w, lambda x: F.xxhash64(x)), of_hashes)
 
-    lines_of = let(lines, lambda l: F.struct(F.size(l).alias("n_lines"), (F.size(l) - F.size(F.array_distinct(l))).alias("n_dup_lines")))
+    dup_lines = let(lines, lambda l: (F.size(l) - F.size(F.array_distinct(l))))
     counted = documents.select(
         key,
         F.coalesce(F.col(stratum).cast("string"), F.lit("none")).alias("stratum"),
         let(words(body), of_words).alias("w"),
-        lines_of.alias("l"),
+        dup_lines.alias("n_dup_lines"),
         (F.length(body) - _length_of(body, BLANKS)).alias("word_chars"),
         _length_of(body, SYMBOLS).alias("n_symbols"),
         _length_of(body, CAPITALS).alias("n_capitals"),
@@ -99,12 +97,10 @@ def measure(documents: DataFrame, *, key: str = "doc_id", text: str = "text", st
     return counted.select(
         key,
         "stratum",
-        *[F.col(c).cast("long").alias(c.split(".")[-1]) for c in ("w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words")],
+        *[F.col(c).cast("long").alias(c.split(".")[-1]) for c in ("w.n_words", "word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words")],
         share("n_symbols", "word_chars").alias("symbol_share"),
         share("n_capitals", "word_chars").alias("capital_share"),
-        share("w.n_repeat_words", "w.n_words").alias("repeat_share"),
         share("w.n_stutter", "w.n_words").alias("stutter_share"),
-        share("l.n_dup_lines", "l.n_lines").alias("dup_line_share"),
     )
 
 

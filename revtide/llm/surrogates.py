@@ -30,15 +30,15 @@ from revtide.session import settle
 KINDS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![\d.])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?![\d])",
-    "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w])",
+    "card": r"(?<![\w.])\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}(?!\w)",
+    "phone": r"(?<![\w.])(?:\+\d{1,3}[ -]?\(\d{1,4}\)[ -]?\d{2,4}(?:-?\d{2,4}){0,2}|\+\d{1,3}(?:[ -]\d{2,4}){2,4}|\(\d{3}\)[ -]?\d{3}-?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w|[.-]\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)",
     "name": r"(?<!\p{L})(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr|Dr|Prof)\.? \p{Lu}\p{L}+(?: \p{Lu}\p{L}+)?",
 }
 # `\1` would count groups of the whole pattern, so the card's separator is spelled out there.
 CARD = "|".join(rf"\d{{4}}{s}\d{{4}}{s}\d{{4}}{s}\d{{1,7}}" for s in ("", " ", "-"))
-ANY = "|".join(f"(?:{p})" if kind != "card" else rf"(?<![\d.])(?:{CARD})(?![\d])" for kind, p in KINDS.items())
+ANY = "|".join(f"(?:{p})" if kind != "card" else rf"(?<![\w.])(?:{CARD})(?!\w)" for kind, p in KINDS.items())
 TITLE = r"^(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr|Dr|Prof)\.? "
 
 # Letters are exchanged within their class: vowels and consonants of Latin, Greek and Cyrillic.
