@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revtide.llm import bpe, contamination, html, jaccard, quality, rules, secrets, surrogates, urls
+from revtide.llm import bpe, contamination, html, jaccard, quality, rules, secrets, substrings, surrogates, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         contamination.op5_decontamination,
         rules.op6_quality_rules,
         surrogates.op9_pii_surrogates,
+        substrings.op7_substring_dedup,
         jaccard.op8_jaccard_join,
         html.op10_html_main_text,
     )
