@@ -11,15 +11,14 @@ the test tables; see README). The join therefore works in levels:
    |x| - ceil(t |x|) + 1 shingles of both in any common order (rarest first), so a set is replicated to
    the shingles in that window only. Of the sets that meet at a shingle the most central one (fewest
    rare shingles) becomes its pivot document, and the sets meeting there join the pivot's region.
-3. A region, with distances to its pivot, is joined exactly. Sets within the distance of the pivot are
-   linked by it and need no comparison with each other. Any other set becomes a pivot in turn, for those
-   sets whose distances to all earlier pivots differ from its own by no more than the distance (the
-   triangle inequality). Regions with many shingles are cut into blocks, and pairs of blocks are
-   joined as tasks of their own.
+3. Every set is compared with its pivots, which links the sets within the distance of a pivot. Where a
+   region still holds several components, the sets outside its largest one become pivots in turn. By the
+   triangle inequality only sets whose distances to the region's pivot differ by the radius at most can
+   be linked, so a region is cut into rings of that width and such a set is replicated to its own ring
+   and the two beside it. Large rings are cut into blocks, and pairs of blocks are tasks of their own.
 
-Links leave a region as a forest, enough to know what is connected; connected components join the
-forests. No group is ever gathered whole, and no pair is dropped: links are lost only between sets that
-other links connect anyway.
+Connected components join the links of all regions. No group is ever gathered whole, and no pair is
+dropped: links are left out only between sets that other links connect anyway.
 
 Documents: A-Z lower-cased, words split at ASCII white space; with fewer words than a shingle has, the
 whole sequence is one shingle; without words (NULL, empty) the set is empty and linked with nothing.
@@ -35,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revtide.llm import shards as S
@@ -46,7 +45,7 @@ from revtide.session import settle
 
 SHINGLE = 4
 PERCENT = 85
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 12 << 20
 BLOCK_TOKENS = 16_000
 ROWS_PER_BUCKET = 5000
 
@@ -267,7 +266,7 @@ def _gatherer(percent: int):
 
 
 class Region:
-    """Sets of one region: sizes, and shingles as numbers local to the region."""
+    """Sets of a part of a region: sizes, and shingles as numbers local to it."""
 
     def __init__(self, sizes: np.ndarray, tokens: list[np.ndarray], percent: int):
         self.sizes, self.percent = sizes, percent
@@ -282,37 +281,8 @@ class Region:
         self.mark[own] = 0
         return out
 
-    def links(self, pivot: int) -> list[tuple[int, int]]:
-        """A forest of links with the same components as all links, found from pivot to pivot."""
-        radius = 1 - self.percent / 100 + 1e-9
-        parent = np.arange(len(self.sizes))
-        seen: list[np.ndarray] = []
-        out = []
-        todo = np.ones(len(self.sizes), bool)
-        at = pivot
-        while True:
-            todo[at] = False
-            shared = self.shared_with(at)
-            distance = 1 - shared / (self.sizes + self.sizes[at] - shared)
-            # The first pivot's ball is connected by the pivot: its members need no pivot of their own.
-            for j in np.flatnonzero(linked(shared, self.sizes, self.sizes[at], self.percent) & (parent != parent[at])).tolist():
-                if parent[j] != parent[at]:
-                    out.append((at, j))
-                    parent[parent == parent[j]] = parent[at]
-            if not seen:
-                todo &= ~linked(shared, self.sizes, self.sizes[at], self.percent)
-            seen.append(distance)
-            while True:
-                left = np.flatnonzero(todo)
-                if not len(left):
-                    return out
-                at = int(left[0])
-                near = parent != parent[at]
-                for d in seen:
-                    near &= np.abs(d - d[at]) <= radius
-                if near.any():
-                    break
-                todo[at] = False
+    def links_of(self, i: int) -> np.ndarray:
+        return linked(self.shared_with(i), self.sizes, self.sizes[i], self.percent)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -335,47 +305,110 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.concat_tables(waiting)
 
 
-def _joiner(percent: int):
+def _tokens(table: pa.Table) -> list[np.ndarray]:
+    return [t.values.to_numpy().view(np.uint64) for t in table["tokens"]]
+
+
+def _to_pivot(percent: int):
+    """Distance of every set to the pivot of its region; the pivot leads each run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, 2):
+            region = Region(table["n"].to_numpy(), _tokens(table), percent)
+            shared = region.shared_with(0)
+            distance = 1 - shared / (region.sizes + region.sizes[0] - shared)
+            near = linked(shared, region.sizes, region.sizes[0], percent)
+            yield pa.RecordBatch.from_arrays(
+                [c.combine_chunks() for c in (table["pivot"], table["digest"])] + [pa.array(distance), pa.array(near)], ["pivot", "digest", "distance", "near"]
+            )
+
+    return run
+
+
+def _between(percent: int):
+    """Links between the sets that the pivot left apart (`apart`) and the others of a block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _runs(batches, 3):
-            digests = table["digest"].to_pylist()
-            table = table.take(pa.array(sorted({d: i for i, d in enumerate(digests)}.values())))
-            digests = table["digest"].to_pylist()
-            if len(digests) < 2:
+        for table in _runs(batches, 4):
+            digests, roots, distance = table["digest"].to_pylist(), table["root"].to_pylist(), table["distance"].to_numpy()
+            apart = table["apart"].to_numpy(zero_copy_only=False)
+            if apart.all() or not apart.any():
                 continue
-            pivot = table["pivot"][0].as_py()
-            tokens = [t.values.to_numpy().view(np.uint64) for t in table["tokens"]]
-            region = Region(table["n"].to_numpy(), tokens, percent)
-            found = region.links(digests.index(pivot) if pivot in digests else 0)
+            region = Region(table["n"].to_numpy(), _tokens(table), percent)
+            _, parent = np.unique(roots, return_inverse=True)
+            found = []
+            for at in np.flatnonzero(apart).tolist():
+                # Only other components matter, and only distances to the pivot that differ by the radius.
+                hope = ~apart & (parent != parent[at]) & (np.abs(distance - distance[at]) <= _radius(percent))
+                if hope.any():
+                    for j in np.flatnonzero(hope & region.links_of(at)).tolist():
+                        if parent[j] != parent[at]:
+                            found.append((digests[at], digests[j]))
+                            parent[parent == parent[j]] = parent[at]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([digests[i] for i, _ in found], pa.binary()), pa.array([digests[j] for _, j in found], pa.binary())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
 
     return run
 
 
+def _radius(percent: int) -> float:
+    return 1 - percent / 100 + 1e-9
+
+
+def _blocks(size: Column) -> Column:
+    return F.ceil(size / F.lit(BLOCK_TOKENS)).cast("int")
+
+
+def _place(digest: Column, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(digest, F.lit(1)), blocks).cast("int")
+
+
 def find_links(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): a forest of links between the digests of distinct sets.
+    """(a, b): links between the digests of distinct sets, with the same components as all links.
 
     `sets`: digest, n, tokens (shared shingles, rarest first), window (how many of them lead to
     pivots), rare; a row per set.
     """
-    spark = sets.sparkSession
+    whole = sets.select("digest", "n", "tokens")
     # A pivot is the most central set at its shingle: least rare, then by digest.
     rank = F.struct(F.col("rare"), F.col("digest"))
     meets = sets.select("digest", "rare", F.size("tokens").alias("size"), F.explode(F.slice("tokens", F.lit(1), F.col("window"))).alias("token"))
     pivots = meets.groupBy("token").agg(F.min(rank)["digest"].alias("pivot"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).drop("_n")
     regions = settle(meets.join(pivots, "token").select("pivot", "digest", "size").distinct())
-    blocks = regions.groupBy("pivot").agg(F.ceil(F.sum("size") / F.lit(BLOCK_TOKENS)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("digest", F.lit(1)), F.col("blocks")).cast("int")
-    placed = regions.join(blocks, "pivot").withColumn("own", own)
-    paired = placed.select(
-        "pivot", "digest", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("low"), F.greatest("own", o).alias("high")))).alias("block")
-    ).select("pivot", "digest", "block.low", "block.high")
-    # Every block pair also gets the pivot itself, for distances to it.
-    with_pivot = paired.unionByName(paired.select("pivot", F.col("pivot").alias("digest"), "low", "high")).distinct()
-    full = with_pivot.join(sets.select("digest", "n", "tokens"), "digest").select("pivot", "low", "high", "digest", "n", "tokens")
-    dealt = full.repartition("pivot", "low", "high").sortWithinPartitions("pivot", "low", "high")
-    return map_arrow(dealt, _joiner(percent), "a binary, b binary")
+
+    # Every set against the pivots of its regions; large regions in blocks, each led by the pivot.
+    blocks = regions.groupBy("pivot").agg(_blocks(F.sum("size")).alias("blocks"))
+    dealt = regions.join(blocks, "pivot").select("pivot", _place(F.col("digest"), F.col("blocks")).alias("block"), "digest").filter(F.col("digest") != F.col("pivot"))
+    led = dealt.withColumn("lead", F.lit(False)).unionByName(dealt.select("pivot", "block", F.col("pivot").alias("digest"), F.lit(True).alias("lead")).distinct())
+    full = led.join(whole, "digest").select("pivot", "block", "digest", "lead", "n", "tokens")
+    ordered = full.repartition("pivot", "block").sortWithinPartitions("pivot", "block", F.desc("lead"))
+    placed = settle(map_arrow(ordered, _to_pivot(percent), "pivot binary, digest binary, distance double, near boolean").distinct())
+    by_pivot = placed.filter(F.col("near") & (F.col("pivot") != F.col("digest"))).select(F.col("pivot").alias("a"), F.col("digest").alias("b"))
+
+    # What is connected by now needs no comparison. In a region that holds several components, sets
+    # outside the largest one meet the rest of it, within the window of distances to the pivot.
+    roots = connect(by_pivot)
+    sizes = sets.select("digest", F.size("tokens").alias("size"))
+    known = placed.join(roots, F.col("digest") == F.col("node"), "left").join(sizes, "digest").select(
+        "pivot", "digest", "distance", "size", F.coalesce("root", "digest").alias("root")
+    )
+    known = settle(known)
+    counted = known.groupBy("pivot", "root").agg(F.count(F.lit(1)).alias("_n"))
+    largest = counted.groupBy("pivot").agg(F.max(F.struct("_n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).drop("_n")
+    ring = F.floor(F.col("distance") / _radius(percent)).cast("int")
+    split = settle(known.join(largest, "pivot").withColumn("ring", ring))
+    rest = split.select("pivot", "ring", "digest", "distance", "size", "root")
+    apart = split.filter(F.col("root") != F.col("main")).select("pivot", "digest", "distance", "size", "root", F.explode(F.array(F.col("ring") - 1, F.col("ring"), F.col("ring") + 1)).alias("ring"))
+    tiles = rest.groupBy("pivot", "ring").agg(_blocks(F.sum("size")).alias("wide")).join(apart.groupBy("pivot", "ring").agg(_blocks(F.sum("size")).alias("high")), ["pivot", "ring"])
+
+    def tiled(rows: DataFrame, own: str, other: str, flag: bool) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"{other}_at")
+        return rows.join(tiles, ["pivot", "ring"]).select("pivot", "ring", "digest", "distance", "root", _place(F.col("digest"), F.col(own)).alias(f"{own}_at"), every, F.lit(flag).alias("apart"))
+
+    tasks = tiled(rest, "wide", "high", False).unionByName(tiled(apart, "high", "wide", True))
+    meeting = tasks.join(whole, "digest").select("pivot", "ring", "wide_at", "high_at", "digest", "distance", "root", "apart", "n", "tokens")
+    across = map_arrow(meeting.repartition("pivot", "ring", "wide_at", "high_at").sortWithinPartitions("pivot", "ring", "wide_at", "high_at"), _between(percent), "a binary, b binary")
+    return by_pivot.unionByName(across)
 
 
 def classes(documents: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
