@@ -15,7 +15,6 @@ from __future__ import annotations
 import os
 import zlib
 from functools import lru_cache
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revtide.llm import shards as S
-from revtide.llm.tasks import per_group, ship
+from revtide.llm.tasks import per_group, per_pair, ship
 
 ASKED = "bucket long, shard long, payload binary"
 ANSWERED = "shard long, bucket long, payload binary"
 _ASKED = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("payload", pa.binary())])
 _ANSWERED = pa.schema([("shard", pa.int64()), ("bucket", pa.int64()), ("payload", pa.binary())])
 
+ROWS_PER_SHARD = 2500  # ids and decoded texts of a shard take several times its text
+
 
 @lru_cache(maxsize=2)
 def _load(definition: str):
@@ -55,8 +56,10 @@ def vocabulary(table: pa.Table, buckets: int) -> list[tuple[int, list[bytes]]]:
     for part in S.tables(table["payload"]):
         for text in part["text"].to_pylist():
             found.update(split_words(text))
-    tagged = sorted((zlib.crc32(word) % buckets, word) for word in found)
-    return [(bucket, [word for _, word in group]) for bucket, group in groupby(tagged, key=lambda x: x[0])]
+    lists: dict[int, list[bytes]] = {}
+    for word in found:
+        lists.setdefault(zlib.crc32(word) % buckets, []).append(word)
+    return [(bucket, sorted(lists[bucket])) for bucket in sorted(lists)]
 
 
 def _asker(buckets: int):
@@ -92,28 +95,37 @@ def _joiner(buckets: int, definition):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         asked = dict(vocabulary(left, buckets))
         pieces = piece_table(definition.value)
-        ids: dict[bytes, np.ndarray] = {}
-        spelled: dict[bytes, str] = {}
+        place: dict[bytes, int] = {}  # word -> its number; ids and pieces are kept by number
+        spelled: list[str] = []
+        sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         for bucket, payload in zip(right["bucket"].to_pylist(), right["payload"]):
             data = np.frombuffer(S.unsqueeze(payload.as_py()), np.uint32)
             n = int(data[0])
-            cuts = np.cumsum(data[1 : n + 1], dtype=np.int64)
-            for word, a, b in zip(asked[bucket], np.concatenate([[0], cuts[:-1]]).tolist(), cuts.tolist()):
-                own = data[n + 1 + a : n + 1 + b]
-                ids[word] = own
-                if b > a:
-                    spelled[word] = " ".join([pieces[i] for i in own.tolist()])
-        none = np.zeros(0, np.uint32)
+            own = data[1 : n + 1].astype(np.int64)
+            names = [pieces[i] for i in data[n + 1 :].tolist()]
+            ends = np.cumsum(own).tolist()
+            place.update(zip(asked.pop(bucket), range(len(spelled), len(spelled) + n)))
+            spelled += [" ".join(names[a:b]) for a, b in zip([0, *ends], ends)]
+            sizes.append(own)
+            flat.append(data[n + 1 :].astype(np.int32))
+        size, ids = np.concatenate(sizes), np.concatenate(flat)
+        start = np.cumsum(size) - size
+        mute = bool((size == 0).any())  # words of white space that is not ASCII have no ids
         out = []
         for part in S.tables(left["payload"]):
-            lists, texts = [], []
+            texts, numbers, counts = [], [], []
             for text in part["text"].to_pylist():
-                found = split_words(text)
-                lists.append(np.concatenate([ids[w] for w in found]).astype(np.int32) if found else none.astype(np.int32))
-                texts.append(" ".join([spelled[w] for w in found if w in spelled]))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-            values = pa.array(np.concatenate(lists) if lists else none.astype(np.int32), pa.int32())
-            out.append(pa.table([part["key"], pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(texts, pa.string())], names=["key", "ids", "decoded"]))
+                found = [place[word] for word in split_words(text)]
+                counts.append(len(found))
+                numbers += found
+                texts.append(" ".join([spelled[i] for i in found if spelled[i]] if mute else [spelled[i] for i in found]))
+            at = np.array(numbers, np.int64)
+            own = size[at]
+            ends = np.cumsum(own)
+            picked = ids[np.repeat(start[at] - (ends - own), own) + np.arange(own.sum())]
+            offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(picked, pa.int32()))
+            out.append(pa.table([part["key"], lists, pa.array(texts, pa.string())], names=["key", "ids", "decoded"]))
         if not out:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int32())), pa.array([], pa.string())], names=["key", "ids", "decoded"])
         return pa.concat_tables(out)
@@ -128,31 +140,33 @@ def encode_decode(documents: DataFrame, tokenizer_file: str, *, key: str = "doc_
     with open(tokenizer_file, encoding="utf-8") as file:
         definition = spark.sparkContext.broadcast(file.read())
     buckets = S.parts_of(documents)
-    dealt = S.deal(documents, key, text, S.shard_count(documents))
+    dealt = S.deal(documents, key, text, S.shard_count(documents, ROWS_PER_SHARD))
     asked = per_group(dealt, "shard", _asker(buckets), ASKED)
     answered = per_group(asked, "bucket", _encoder(definition), ANSWERED)
     kind = dict(documents.dtypes)[key]
-    joined = (
-        dealt.groupBy("shard")
-        .cogroup(answered.groupBy("shard"))
-        .applyInArrow(_joiner(buckets, definition), f"key {kind}, ids array<int>, decoded string")
-    )
+    joined = per_pair(dealt, "shard", answered, "shard", _joiner(buckets, definition), f"key {kind}, ids array<int>, decoded string")
     return joined.withColumnRenamed("key", key)
 
 
-def op3_bpe(spark: SparkSession, folder: str, tokenizer_file: str | None = None) -> DataFrame:
-    """Ids and decoded texts of all `documents`, as counts and digests."""
+def tokenizer_path(tokenizer_file: str | None = None) -> str:
+    """The given file, else that of the public 49k word vocabulary."""
     if tokenizer_file is None:
         import public_tokenizers
 
         tokenizer_file = str(public_tokenizers.path("word_bpe_49k.json"))
-    return digest(encode_decode(spark.read.parquet(f"{folder}/documents.parquet"), tokenizer_file))
+    return tokenizer_file
 
 
-def digest(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
+def digest(encoded: DataFrame, key: str = "doc_id", more=()) -> DataFrame:
     return encoded.select(
         key,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *more,
     )
+
+
+def op3_bpe(spark: SparkSession, folder: str, tokenizer_file: str | None = None) -> DataFrame:
+    """Ids and decoded texts of all `documents`, as counts and digests."""
+    return digest(encode_decode(spark.read.parquet(f"{folder}/documents.parquet"), tokenizer_path(tokenizer_file)))

@@ -49,9 +49,9 @@ def unpack(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(unsqueeze(data)).read_all()
 
 
-def shard_count(documents: DataFrame) -> int:
-    """Enough shards for about `ROWS_PER_SHARD` rows each, and for all partitions of a shuffle."""
-    return max(2 * parts_of(documents), math.ceil(documents.count() / ROWS_PER_SHARD))
+def shard_count(documents: DataFrame, rows: int = ROWS_PER_SHARD) -> int:
+    """Enough shards for about `rows` rows each, and for all partitions of a shuffle."""
+    return max(parts_of(documents), math.ceil(documents.count() / rows))
 
 
 def _dealer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

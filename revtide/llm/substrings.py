@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from revtide.llm import shards as S
 from revtide.llm import words as W
-from revtide.llm.tasks import map_arrow, per_group, ship
+from revtide.llm.tasks import map_arrow, per_group, per_pair, ship
 
 DEPTH = 13
 SLOTS = 1 << 16
@@ -234,7 +234,8 @@ def _suffix_sender(depth: int, groups: int, heavy):
             rows = order[a:z].tolist()
             rows = sorted((texts[part_of[i]][start[i] : end[i]], i) for i in rows)
             own = np.array([i for _, i in rows])
-            head = np.uint64(len(rows)).tobytes() + least[own].tobytes() + several[own].tobytes()
+            ids, place = np.unique(least[own], return_inverse=True)
+            head = np.array([len(rows), len(ids)], np.uint64).tobytes() + ids.tobytes() + place.astype(np.uint32).tobytes() + several[own].tobytes()
             payloads.append(S.squeeze(head + b"\n".join([s for s, _ in rows])))
         return _rows(to, [shard] * len(to), payloads)
 
@@ -264,10 +265,11 @@ def _tree(depth: int):
         shards, least, several = [], [], []
         for by, payload in zip(table["by"].to_pylist(), table["payload"]):
             data = S.unsqueeze(payload.as_py())
-            n = int(np.frombuffer(data, np.uint64, 1)[0])
-            least.append(np.frombuffer(data, np.int64, n, 8))
-            several.append(np.frombuffer(data, bool, n, 8 + 8 * n))
-            suffixes += data[8 + 9 * n :].split(b"\n")
+            n, m = (int(x) for x in np.frombuffer(data, np.uint64, 2))
+            at = 16 + 8 * m
+            least.append(np.frombuffer(data, np.int64, m, 16)[np.frombuffer(data, np.uint32, n, at)])
+            several.append(np.frombuffer(data, bool, n, at + 4 * n))
+            suffixes += data[at + 5 * n :].split(b"\n")
             shards.append(np.full(n, by))
         shard, low, twice = np.concatenate(shards), np.concatenate(least), np.concatenate(several)
         order = sorted(range(len(suffixes)), key=suffixes.__getitem__)
@@ -350,9 +352,9 @@ def remove_repeats(documents: DataFrame, *, key: str = "doc_id", text: str = "te
     dealt = S.deal(documents, key, text, S.shard_count(documents))
     asked = per_group(dealt, "shard", _anchor_asker(depth, groups), ROW)
     shared = per_group(asked, "to", _anchor_counter, ROW)
-    sent = dealt.groupBy("shard").cogroup(shared.groupBy("to")).applyInArrow(_suffix_sender(depth, groups, heavy), ROW)
+    sent = per_pair(dealt, "shard", shared, "to", _suffix_sender(depth, groups, heavy), ROW)
     repeats = per_group(sent, "to", _tree(depth), ROW)
-    done = dealt.groupBy("shard").cogroup(repeats.groupBy("to")).applyInArrow(_remover(depth, arrow_kind), f"key {kind}, n_words long, n_removed long, kept string")
+    done = per_pair(dealt, "shard", repeats, "to", _remover(depth, arrow_kind), f"key {kind}, n_words long, n_removed long, kept string")
     return done.withColumnRenamed("key", key)
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 import revtide
@@ -33,13 +35,54 @@ def ship(spark: SparkSession) -> None:
     context._revtide_shipped = True
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: workers are reused, and executors count what they hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only some C libraries have it
+        return
+
+
+def _mapped(function: Callable) -> Callable:
+    def run(batches):
+        yield from function(batches)
+        _give_back()
+
+    return run
+
+
+def _grouped(function: Callable) -> Callable:
+    def run(table):
+        out = function(table)
+        _give_back()
+        return out
+
+    return run
+
+
+def _paired(function: Callable) -> Callable:
+    def run(left, right):
+        out = function(left, right)
+        _give_back()
+        return out
+
+    return run
+
+
 def map_arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
     """`mapInArrow` with this package at hand."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(_mapped(function), schema)
 
 
 def per_group(df: DataFrame, key: str, function: Callable, schema) -> DataFrame:
     """`applyInArrow` for each value of `key`: function(table) -> table."""
     ship(df.sparkSession)
-    return df.groupBy(key).applyInArrow(function, schema)
+    return df.groupBy(key).applyInArrow(_grouped(function), schema)
+
+
+def per_pair(left: DataFrame, left_key: str, right: DataFrame, right_key: str, function: Callable, schema) -> DataFrame:
+    """`applyInArrow` on cogroups: function(left table, right table) -> table."""
+    ship(left.sparkSession)
+    return left.groupBy(left_key).cogroup(right.groupBy(right_key)).applyInArrow(_paired(function), schema)
