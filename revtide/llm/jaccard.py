@@ -46,7 +46,7 @@ from revtide.session import settle
 SHINGLE = 4
 PERCENT = 85
 BATCH_BYTES = 12 << 20
-BLOCK_TOKENS = 16_000
+BLOCK_TOKENS = 128_000
 ROWS_PER_BUCKET = 5000
 
 _ASK = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("head", pa.bool_()), ("payload", pa.binary())])
