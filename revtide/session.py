@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,9 +29,12 @@ def build_session(app: str = "revtide", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: `spark.checkpoint.dir` as the cluster set it.
 
-    Only where it is unset (local tests) a temporary folder is chosen and recorded there.
+    Only where it is unset and the master is local (tests) a temporary folder is chosen and recorded
+    there. On a cluster a machine-local folder would hide rows from other executors, so that is refused.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="revtide-")
     if spark.sparkContext.getCheckpointDir() is None:
