@@ -15,8 +15,11 @@ def edit_size(size: Column, previous: Column) -> Column:
 
 
 def page_metrics(revisions: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLICE) -> DataFrame:
-    """Add time_to_respond, time_responded_to, edit_size and next_edit_size to every revision."""
-    placed = revisions.withColumn("at", clock.micros("event_timestamp"))
+    """Add time_to_respond, time_responded_to, edit_size and next_edit_size to every revision of a page.
+
+    Revisions without a page belong to none and are left out.
+    """
+    placed = revisions.filter(F.col("page_id").isNotNull()).withColumn("at", clock.micros("event_timestamp"))
     here = F.struct(F.col("at"), F.col("revision_text_bytes").alias("bytes"))
     linked = running(
         placed,
@@ -40,7 +43,7 @@ def page_metrics(revisions: DataFrame, *, rows_per_slice: int | None = ROWS_PER_
 
 def edit_sizes(revisions: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLICE) -> DataFrame:
     """page_id, at, edit_size only: the narrow form of `page_metrics` daily activity needs."""
-    placed = revisions.select(
+    placed = revisions.filter(F.col("page_id").isNotNull()).select(
         "page_id", clock.micros("event_timestamp").alias("at"), "revision_id", "revision_text_bytes"
     )
     linked = running(
