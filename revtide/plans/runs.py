@@ -72,7 +72,8 @@ def running(
             joined = staged.join(F.broadcast(large), list(keys), how)
             return joined.withColumn("_slice", F.coalesce(piece, F.lit(0))).drop("_from", "_width")
 
-        rows = slice_rows("left")
+        # Rows may arrive hashed by the keys alone, which would satisfy the window and keep a hot key whole.
+        rows = slice_rows("left").repartition(*group)
     else:
         rows = staged
 

@@ -11,3 +11,15 @@ def test_rows_without_a_page_are_no_page(spark):
     got = sorted((r["revision_id"], r["edit_size"], r["time_to_respond"]) for r in timeline.page_metrics(table).collect())
     assert got == [(1, 100, 0), (3, 200, 2)]
     assert timeline.edit_sizes(table).count() == 2
+
+
+def test_hot_pages_are_dealt_by_slice_wherever_rows_come_from(spark):
+    import __spark_entry__ as entry
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = entry.queries()["talk_vs_article_activity"](spark, "/root/testdata/sf0.001")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert any("page_id" in line and "_slice" in line for line in plan.splitlines() if "REPARTITION_BY_COL" in line)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
