@@ -1,4 +1,4 @@
-"""Registered queries of this subpackage and their DuckDB twins."""
+"""Registered queries of this subpackage."""
 
 from __future__ import annotations
 
@@ -23,5 +23,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         html.op10_html_main_text,
     )
 }
-
-ORACLES: dict[str, str] = {}
