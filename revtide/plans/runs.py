@@ -1,34 +1,77 @@
 """Ordered running values per key that stay balanced when one key holds a large share of all rows.
 
-A plain window puts a whole key into one task. Here a key with more than LARGE * `rows_per_slice`
-rows is cut along its order into equal slices of its own span, about `rows_per_slice` rows each; the
-window runs per (key, slice), and what crosses a slice border (last value, next value, running sum,
-running maximum) is carried over from a table with one row per slice. That table and the list of
-large keys have at most 2 * total_rows / rows_per_slice rows, which is what makes broadcasting them
-safe. Rows of one key at one and the same position cannot be told apart by it and share a slice.
-
-Ordinary keys stay in one slice: for them the plan is one shuffle, one sort and one window.
+A plain window puts a whole key into one task. Here a key with more than about LARGE * `rows_per_slice`
+rows is cut along its order into slices of about `rows_per_slice` *rows* each; the window runs per
+(key, slice), and what crosses a slice border (last value, next value, running sum, running maximum)
+is carried over from a table with one row per slice. Rows of one key at one and the same position
+cannot be told apart by it and share a slice.
+
+Where to cut is read from a sample of (key, position), SAMPLES rows per slice on average, as a range
+shuffle does; bursts and early rows do not matter. The sample decides on balance only: results are the same
+wherever the cuts fall. The cuts are written once, so all parts of a plan see the same ones, and counted:
+up to MAX_BROADCAST of them are broadcast, more are joined as any other table.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from revtide.session import settle
+
 ROWS_PER_SLICE = 500_000
 LARGE = 4
+SAMPLES = 64
+MAX_BROADCAST = 500_000
+
 
+def slice_cuts(df: DataFrame, keys: Sequence[str], position: str, rows_per_slice: int) -> DataFrame:
+    """(keys, _heads, _blocks, _width): the first positions of the slices of each large key.
 
-def large_keys(df: DataFrame, keys: Sequence[str], position: str, rows_per_slice: int) -> DataFrame:
-    """Keys above the limit with the start of their span and the width of one slice."""
-    sized = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min(position).alias("_from"), F.max(position).alias("_to")
+    They are kept in blocks of `_width`, the root of their number, with the head of each block apart, so
+    that finding a row's slice looks at two short lists.
+    """
+    step = min(SAMPLES, rows_per_slice)
+    drawn = df.select(*keys, F.col(position).alias("_at")).filter(F.col("_at").isNotNull())
+    if step < rows_per_slice:
+        drawn = drawn.filter(F.rand(17) < step / rows_per_slice)
+    whole = Window.partitionBy(*keys)
+    ranked = drawn.select(
+        *keys, "_at", F.row_number().over(whole.orderBy("_at")).alias("_rank"), F.count(F.lit(1)).over(whole).alias("_drawn")
     )
-    slices = F.ceil(F.col("_rows") / F.lit(rows_per_slice))
-    width = F.floor((F.col("_to") - F.col("_from")) / slices).cast("long") + 1
-    return sized.filter(F.col("_rows") > LARGE * rows_per_slice).select(*keys, "_from", width.alias("_width"))
+    chosen = ranked.filter((F.col("_drawn") > LARGE * step) & (F.col("_rank") % step == 0))
+    # A list holds the key's rows / rows_per_slice positions.
+    cuts = chosen.groupBy(*keys).agg(F.array_sort(F.collect_set("_at")).alias("_cuts"))
+    width = F.ceil(F.sqrt(F.size("_cuts"))).cast("int")
+    firsts = F.sequence(F.lit(1), F.size("_cuts"), width)
+    return cuts.select(
+        *keys,
+        F.transform(firsts, lambda i: F.element_at("_cuts", i)).alias("_heads"),
+        F.transform(firsts, lambda i: F.slice("_cuts", i, width)).alias("_blocks"),
+        width.alias("_width"),
+    )
+
+
+def slice_of(position: str) -> Column:
+    """How many cuts lie at or before the position: 0 for ordinary keys and for NULL positions."""
+
+    def upto(values: Column) -> Column:
+        return F.size(F.filter(values, lambda cut: cut <= F.col(position)))
+
+    block = upto(F.col("_heads"))
+    found = (block - 1) * F.col("_width") + upto(F.element_at("_blocks", F.greatest(block, F.lit(1))))
+    return F.when(F.col("_heads").isNull() | (block == 0), F.lit(0)).otherwise(found)
+
+
+def _join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, small: bool) -> DataFrame:
+    """Join in which NULL keys meet each other; `right` is broadcast where it is known to be small."""
+    renamed = right.withColumnsRenamed({name: f"_right_{name}" for name in on})
+    same = functools.reduce(operator.and_, [F.col(name).eqNullSafe(F.col(f"_right_{name}")) for name in on])
+    return left.join(F.broadcast(renamed) if small else renamed, same, how).drop(*[f"_right_{name}" for name in on])
 
 
 def running(
@@ -51,8 +94,9 @@ def running(
     peak       maximum up to and including the row
 
     `order` holds numeric columns, ascending; the first one is the position slices are cut on.
-    `sizes` is a cheaper frame with the keys and the position to measure keys on, such as the plain
+    `sizes` is a cheaper frame with the keys and the position to draw the sample from, such as the plain
     scan below a `df` that joins or unions more onto it.
+    Rows with a NULL key form a key of their own, sliced like any other.
     `rows_per_slice=None` skips slicing, for keys whose size is bounded anyway.
     """
     prior, following = dict(prior or {}), dict(following or {})
@@ -63,14 +107,14 @@ def running(
 
     group = list(keys)
     if rows_per_slice is not None:
-        large = large_keys(df if sizes is None else sizes, keys, order[0], rows_per_slice)
-        # Rows outside the measured span join the first or the last slice's side of the order.
-        piece = F.when(F.col("_from").isNotNull(), F.greatest(F.lit(1), 1 + F.floor((F.col(order[0]) - F.col("_from")) / F.col("_width")).cast("int")))
+        cuts = settle(slice_cuts(df if sizes is None else sizes, keys, order[0], rows_per_slice))
+        sliced = cuts.agg(F.coalesce(F.sum(F.size("_heads") * F.col("_width")), F.lit(0))).first()[0]
+        small = sliced <= MAX_BROADCAST
         group = [*keys, "_slice"]
 
         def slice_rows(how: str) -> DataFrame:
-            joined = staged.join(F.broadcast(large), list(keys), how)
-            return joined.withColumn("_slice", F.coalesce(piece, F.lit(0))).drop("_from", "_width")
+            joined = _join(staged, cuts, keys, how, small)
+            return joined.withColumn("_slice", slice_of(order[0])).drop("_heads", "_blocks", "_width")
 
         # Rows may arrive hashed by the keys alone, which would satisfy the window and keep a hot key whole.
         rows = slice_rows("left").repartition(*group)
@@ -90,6 +134,8 @@ def running(
     )
     if rows_per_slice is None:
         return local
+    if sliced == 0:  # nothing crosses a border
+        return local.drop("_slice")
 
     place = F.struct(*order)
     edges = (
@@ -112,7 +158,7 @@ def running(
         *[F.sum(f"_edge_{n}").over(earlier).alias(f"_carry_{n}") for n in total],
         *[F.max(f"_edge_{n}").over(earlier).alias(f"_carry_{n}") for n in peak],
     )
-    joined = local.join(F.broadcast(carried), group, "left")
+    joined = _join(local, carried, group, "left", small)
 
     def carry(name: str) -> Column:
         return F.col(f"_carry_{name}")

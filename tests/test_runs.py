@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from revtide.plans.runs import large_keys, running
+from revtide.plans import runs
+from revtide.plans.runs import running, slice_cuts, slice_of
 
 
 @pytest.fixture(scope="module")
@@ -51,15 +52,46 @@ def test_against_plain_windows(line):
     assert sorted(map(tuple, plain.collect()), key=str) == sorted(map(tuple, sliced.collect()), key=str)
 
 
-def test_only_large_keys_are_sliced(line):
-    assert [r.k for r in large_keys(line, ["k"], "at", 100).collect()] == [0]
+def _slices(rows, rows_per_slice):
+    joined = runs._join(rows, slice_cuts(rows, ["k"], "at", rows_per_slice), ["k"], "left", False)
+    return joined.groupBy("k", slice_of("at").alias("s")).count().collect()
 
 
-def test_large_key_spreads_over_slices(line):
-    big = line.filter("k = 0")
-    large = large_keys(big, ["k"], "at", 50)
-    slices = big.join(large, "k").select(F.floor((F.col("at") - F.col("_from")) / F.col("_width")).alias("s"))
-    assert slices.distinct().count() >= 10
+def test_only_large_keys_are_sliced(line):
+    assert [r.k for r in slice_cuts(line, ["k"], "at", 100).collect()] == [0]
+
+
+@pytest.mark.parametrize(
+    "place",
+    [
+        lambda i: F.col("id"),  # even
+        lambda i: F.when(i == 0, -(10**15)).otherwise(i),  # one early row
+        lambda i: F.when(i % 10 == 0, i * 10**9).otherwise(5 * 10**12 + i),  # a burst
+        lambda i: F.exp(i / 10000.0).cast("long") * 10**6 + i,  # ever denser
+    ],
+)
+@pytest.mark.parametrize("key", [1, None])
+def test_slices_hold_about_the_same_number_of_rows(spark, place, key):
+    rows = spark.range(200_000).select(F.lit(key).cast("int").alias("k"), place(F.col("id")).alias("at"))
+    found = _slices(rows, 5000)
+    assert len(found) >= 30 and max(r["count"] for r in found) < 2 * 5000
+
+
+def test_rows_without_a_key_run_as_one_key(spark, line):
+    rows = line.withColumn("k", F.when(F.col("k") > 0, F.col("k")))
+    assert _outputs(rows, 7) == _outputs(rows, None)
+
+
+def test_many_cuts_are_joined_without_a_broadcast(spark, line, monkeypatch):
+    monkeypatch.setattr(runs, "MAX_BROADCAST", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = running(line, ["k"], ["at", "id"], total={"t": F.coalesce("v", F.lit(0))}, rows_per_slice=5)
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        plain = running(line, ["k"], ["at", "id"], total={"t": F.coalesce("v", F.lit(0))}, rows_per_slice=None)
+        assert sorted(map(str, df.collect())) == sorted(map(str, plain.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_rows_outside_the_measured_span(spark, line):
