@@ -354,8 +354,8 @@ FROM (SELECT CASE WHEN stddev_samp({c}) FILTER ({c} IS NOT NULL) = 0 THEN NULL E
     for c in DOC_FEATURES
 )
 _BUCKET = "CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 6))::BIGINT % 4 AS INTEGER)"
-VERTEX_FEATURES = ["num_edits", "num_articles", "talk_article_ratio"]
-_VF = ", ".join(f"CAST({c} AS DOUBLE) {c}" for c in VERTEX_FEATURES)
+VERTEX_FEATURES = EDITOR
+_VF = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0) {c}" for c in VERTEX_FEATURES)
 _VIEWS["vertices"] = f"""
 SELECT {K}, event_user_id vertex, {_VF} FROM editor SEMI JOIN k_directed USING ({K})"""
 _VIEWS["edges"] = f"SELECT {K}, event_user_id src, event_user_id_r dst, coedit_ratio, coedit_revisions_ratio FROM k_directed"
@@ -386,11 +386,11 @@ _KEEP = (
 _FINAL = {
     "scan_revisions": f"SELECT {_KEEP} FROM revisions WHERE revision_id % 2 = 0",
     "parquet_roundtrip": "SELECT * FROM tagged",
-    "json_roundtrip": f"SELECT {_KEEP}, template FROM revisions WHERE page_namespace = 0",
+    "json_roundtrip": f"SELECT {_KEEP}, template FROM revisions",
     "read_revisions": f"SELECT {_KEEP} FROM revisions",
     "read_labels": "SELECT page_id, tag_date FROM samples",
-    "partition_by_page": f"SELECT {_KEEP} FROM revisions WHERE page_namespace = 1",
-    "load_all": f"SELECT {_KEEP}, template FROM revisions WHERE has_template = 1",
+    "partition_by_page": f"SELECT {_KEEP} FROM revisions",
+    "load_all": f"SELECT {_KEEP}, template, has_template FROM revisions",
     "feature_document": f"""SELECT {K}, 1 parts, 0 part, CAST(count(*) AS INTEGER) n_editors,
   string_agg(CAST(event_user_id AS VARCHAR), ',' ORDER BY event_user_id) editors, CAST(sum(num_edits) AS BIGINT) n_edits
 FROM user_article GROUP BY {K}""",
@@ -406,7 +406,7 @@ FROM user_article GROUP BY {K}""",
     "asof_cut": f"SELECT {K}, event_timestamp, revision_id FROM sample_rows",
     "asof_cut_day": """SELECT s.template, s.page_id, s.tag_date, r.event_timestamp, r.revision_id FROM samples s
 JOIN revisions r ON r.page_id = s.page_id AND CAST(r.event_timestamp AS DATE) <= CAST(s.tag_date AS DATE)""",
-    "trailing_year": f"SELECT {K}, event_timestamp, revision_id FROM sample_rows WHERE event_timestamp BETWEEN tag_date - INTERVAL 10 DAY AND tag_date",
+    "trailing_year": f"SELECT {K}, event_timestamp, revision_id FROM sample_rows WHERE event_timestamp BETWEEN tag_date - INTERVAL 1 YEAR AND tag_date",
     "edits_pre_tag": """SELECT page_id, revision_id, event_timestamp, has_template, top = 1 has_tag
 FROM (SELECT *, max(has_template) OVER (PARTITION BY page_id) top,
   coalesce(sum(has_template) OVER (PARTITION BY page_id ORDER BY event_timestamp, revision_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) seen,
@@ -415,7 +415,7 @@ WHERE CASE WHEN top = 1 THEN seen = 0 ELSE rn = 1 END""",
     "sample_editors": f"SELECT {KU} FROM editors",
     "talk_activity": """SELECT t.page_id, t.page_title, t.revision_id, t.event_timestamp, g.template FROM talk_texts t
 JOIN (SELECT DISTINCT template, 'Talk:' || replace(page_title, '_', ' ') page_title FROM tagged) g USING (page_title)""",
-    "history_subset": f"SELECT {_KEEP} FROM revisions WHERE page_title IN (SELECT page_title FROM tagged WHERE template = 'weasel')",
+    "history_subset": f"SELECT {_KEEP} FROM revisions WHERE page_title IN (SELECT page_title FROM tagged)",
     "flag_has_template": """SELECT r.page_id, r.page_title, r.revision_id, r.event_timestamp, g.template,
   CASE WHEN h.revision_id IS NULL THEN 0 ELSE 1 END has_template
 FROM revisions r JOIN (SELECT DISTINCT template, page_title FROM tagged) g USING (page_title)
@@ -470,8 +470,8 @@ FROM paired_rolling r JOIN (SELECT article_page_id page_id, article_page_id, 'ar
 LEFT JOIN (SELECT page_id article_page_id, days_since_start, CAST(max(CAST(transition = 'added' AS INTEGER)) AS INTEGER) template_added,
   CAST(max(CAST(transition = 'removed' AS INTEGER)) AS INTEGER) template_removed FROM transitions GROUP BY ALL) t
 USING (article_page_id, days_since_start)""",
-    "ordered_export": f"SELECT {_KEEP}, template FROM revisions WHERE page_namespace = 0",
-    "clustered_export": f"SELECT {_KEEP} FROM revisions WHERE event_user_id IS NOT NULL",
+    "ordered_export": f"SELECT {_KEEP}, template FROM revisions",
+    "clustered_export": f"SELECT {_KEEP} FROM revisions",
     "feature_correlations": "SELECT * FROM correlations",
     "top_correlations": "SELECT * FROM correlations ORDER BY abs DESC NULLS LAST, feature LIMIT 3",
     "labelled_union": f"""SELECT {K}, num_revisions, NULL::DOUBLE edit_size, 0 AS label FROM article_all JOIN samples s USING ({K}) WHERE s.label = 0
@@ -556,12 +556,12 @@ _DOUBLES = {
     "standard_scale": "n_chars n_commas constant",
     "roc_auc": "roc_auc",
     "f1_accuracy": "f1 accuracy",
-    "graph_vertices": "num_edits num_articles talk_article_ratio",
+    "graph_vertices": " ".join(VERTEX_FEATURES),
     "graph_edges": "coedit_ratio coedit_revisions_ratio",
     "graph_self_loops": "coedit_ratio coedit_revisions_ratio",
-    "graph_propagate": "num_edits num_articles talk_article_ratio",
-    "graph_message_sum": "sum_num_edits sum_num_articles sum_talk_article_ratio sum_coedit_ratio sum_coedit_revisions_ratio",
-    "graph_readout": "mean_num_edits mean_num_articles mean_talk_article_ratio",
+    "graph_propagate": " ".join(VERTEX_FEATURES),
+    "graph_message_sum": " ".join(f"sum_{c}" for c in [*VERTEX_FEATURES, "coedit_ratio", "coedit_revisions_ratio"]),
+    "graph_readout": " ".join(f"mean_{c}" for c in VERTEX_FEATURES),
     "rollup_user_article": "frac_page_edits_ent",
 }
 

@@ -66,7 +66,7 @@ def parquet_roundtrip(spark, folder):
 @query
 def json_roundtrip(spark, folder):
     path = scratch_path(spark, "json")
-    rows = T.revisions(spark, folder).filter(F.col("page_namespace") == 0).select(*KEEP, "template")
+    rows = T.revisions(spark, folder).select(*KEEP, "template")
     files.write_json(rows, path)
     return files.load_all(spark, path, _schema(rows, *KEEP))
 
@@ -92,7 +92,7 @@ def read_labels(spark, folder):
 @query
 def partition_by_page(spark, folder):
     path = scratch_path(spark, "pages")
-    rows = T.revisions(spark, folder).filter(F.col("page_namespace") == 1).select(*KEEP)
+    rows = T.revisions(spark, folder).select(*KEEP)
     files.partition_by_page(rows, path)
     return files.read_revisions(spark, path, rows.schema)
 
@@ -100,9 +100,9 @@ def partition_by_page(spark, folder):
 @query
 def load_all(spark, folder):
     path = scratch_path(spark, "all")
-    rows = T.revisions(spark, folder).filter(F.col("has_template") == 1).select(*KEEP, "template")
+    rows = T.revisions(spark, folder).select(*KEEP, "has_template", "template")
     files.write_json(rows, path)
-    return files.load_all(spark, path, _schema(rows, *KEEP))
+    return files.load_all(spark, path, _schema(rows, *KEEP, "has_template"))
 
 
 @query
@@ -131,7 +131,7 @@ def resume_pending(spark, folder):
 @query
 def ordered_export(spark, folder):
     path = scratch_path(spark, "ordered")
-    rows = T.revisions(spark, folder).filter(F.col("page_namespace") == 0).select(*KEEP, "template")
+    rows = T.revisions(spark, folder).select(*KEEP, "template")
     files.ordered_export(rows, path, ["page_title", "revision_id"], partition_by=["template"])
     return spark.read.parquet(path)
 
@@ -139,7 +139,7 @@ def ordered_export(spark, folder):
 @query
 def clustered_export(spark, folder):
     path = scratch_path(spark, "clustered")
-    rows = T.revisions(spark, folder).filter(F.col("event_user_id").isNotNull()).select(*KEEP)
+    rows = T.revisions(spark, folder).select(*KEEP)
     files.clustered_export(rows, path, "event_user_id", "revision_id")
     return spark.read.parquet(path)
 
@@ -194,7 +194,7 @@ def asof_cut_day(spark, folder):
 
 @query
 def trailing_year(spark, folder):
-    return sampling.trailing_cut(T.samples(spark, folder), T.revisions(spark, folder), ["revision_id"], "10 DAYS")
+    return sampling.trailing_cut(T.samples(spark, folder), T.revisions(spark, folder), ["revision_id"], "1 YEAR")
 
 
 @query
@@ -217,8 +217,7 @@ def talk_activity(spark, folder):
 @query
 def history_subset(spark, folder):
     tagged = templates.revisions_with_template(T.wikitext(spark, folder))
-    weasel = tagged.filter(F.col("template") == "weasel")
-    return editor.history_subset(T.revisions(spark, folder).select(*KEEP), weasel, "page_title")
+    return editor.history_subset(T.revisions(spark, folder).select(*KEEP), tagged, "page_title")
 
 
 @query

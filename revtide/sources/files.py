@@ -94,11 +94,10 @@ def _parts(df: DataFrame, key: Sequence[str], limit: int, *salt: str) -> DataFra
     return joined.withColumn("part", F.pmod(F.xxhash64(*salt), parts).cast("int")).withColumn("parts", parts)
 
 
-def partition_by_page(df: DataFrame, path: str, *, key: str = "page_id", rows_per_file: int = 1_000_000) -> None:
-    """One folder per page with one file, or several for a page above `rows_per_file`."""
-    split = _parts(df, [key], rows_per_file, "revision_id")
-    writer = split.repartition(key, "part").drop("part", "parts").write.mode("overwrite")
-    writer.option("timestampNTZFormat", STAMP_FORMAT).partitionBy(key).json(path)
+def partition_by_page(df: DataFrame, path: str, *, key: str = "page_id", order: Sequence[str] = ("event_timestamp", "revision_id")) -> None:
+    """One folder per page. Tasks take ranges of (page, time, revision), so a large page spans several files in order."""
+    ranged = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    ranged.write.mode("overwrite").option("timestampNTZFormat", STAMP_FORMAT).partitionBy(key).json(path)
 
 
 def load_all(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

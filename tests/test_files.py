@@ -51,11 +51,11 @@ def test_documents_are_whole_in_parts(spark):
 
 def test_large_pages_span_several_files(spark):
     path = scratch_path(spark, "split")
-    frame = spark.createDataFrame([(1, i) for i in range(100)] + [(2, 500)], "page_id long, revision_id long")
-    # Parts this small would be merged again.
+    frame = spark.createDataFrame([(1, i, i) for i in range(100)] + [(2, 500, 0)], "page_id long, revision_id long, event_timestamp long")
+    # Ranges this small would be merged again.
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        files.partition_by_page(frame, path, rows_per_file=4)
+        files.partition_by_page(frame, path)
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     back = spark.read.schema(frame.schema).json(path)
