@@ -9,7 +9,8 @@ round checks them against each other and against the corpus; those that collide
 Form: digits become digits, vowels vowels, consonants consonants, of the same script and case; other
 characters stay. Phones keep the first digit, cards the first digit and a valid check digit, IPv4
 numbers stay valid, e-mails keep their top-level domain, names keep title and last letter, so gender
-and script stay.
+and script stay. Where so many entities share a form that no other is left, the form gives way, never
+the replacement: first the kept last letter or digit and the widths of octets vary, then the length.
 
 A text's replacements depend on its content only: mentions are gathered per distinct text, so copies
 are worked on once. Texts without mentions are passed on in the scan; only the others are shuffled.
@@ -18,7 +19,9 @@ NULL texts stay NULL; repeated rows and NULL keys stay.
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
+from itertools import count as count_from
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +44,8 @@ CARD = "|".join(rf"\d{{4}}{s}\d{{4}}{s}\d{{4}}{s}\d{{1,7}}" for s in ("", " ", "
 ANY = "|".join(f"(?:{p})" if kind != "card" else rf"(?<![\w.])(?:{CARD})(?!\w)" for kind, p in KINDS.items())
 TITLE = r"^(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señora|Señor|Sra|Sr|Dr|Prof)\.? "
 
-# Letters are exchanged within their class: vowels and consonants of Latin, Greek and Cyrillic.
+# Letters are exchanged within their class: vowels and consonants of Latin, Greek and Cyrillic; letters
+# of no class within their script, and those of no script named here for Latin ones.
 CLASSES = (
     "0123456789",
     "aeiou",
@@ -52,7 +56,36 @@ CLASSES = (
     "βγδζθκλμνξπρσςτφχψ",
     "аеёиоуыэюя",
     "бвгджзйклмнпрстфхцчшщъьж",
+    "āăąēĕėęěīĭįōŏőūŭůűųøæœý",
+    "ćĉċčďđĝğġģĥķĺļľłńņňŕřśŝşšţťŵźżž",
+    "άέήίόύώ",
 )
+RANGES = {
+    "Greek": (0x3B1, 0x3C9),
+    "Cyrillic": (0x430, 0x45F),
+    "Armenian": (0x561, 0x586),
+    "Georgian": (0x10D0, 0x10F0),
+    "Hebrew": (0x5D0, 0x5EA),
+    "Arabic": (0x628, 0x63A),
+    "Devanagari": (0x905, 0x939),
+    "Bengali": (0x985, 0x9B9),
+    "Tamil": (0xB85, 0xBB9),
+    "Telugu": (0xC05, 0xC39),
+    "Thai": (0xE01, 0xE2E),
+    "Ethiopic": (0x1200, 0x1246),
+    "Hiragana": (0x3042, 0x3093),
+    "Katakana": (0x30A2, 0x30F3),
+    "Hangul": (0xAC00, 0xAD00),
+    "Han": (0x4E00, 0x4F00),
+    "Cherokee": (0xAB70, 0xABBF),
+    "Coptic": (0x2C80, 0x2CB1),
+    "Glagolitic": (0x2C30, 0x2C5E),
+    "Deseret": (0x10428, 0x1044F),
+    "Adlam": (0x1E922, 0x1E943),
+}
+SCRIPTS = {name: "".join(c for c in map(chr, range(a, z + 1)) if unicodedata.category(c) in ("Ll", "Lo")) for name, (a, z) in RANGES.items()}
+LATIN = "abcdefghijklmnopqrstuvwxyz"
+# Rounds that keep the form; then as many as a quarter of them with the length kept, then longer ones.
 MAX_TRIES = 64
 
 
@@ -92,8 +125,25 @@ def _luhn_fixed(digits: Column) -> Column:
     return F.concat(body, ((10 - total % 10) % 10).cast("string"))
 
 
-def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column:
-    """A surrogate of the same length and form for a canonical entity."""
+def _padded(kind: Column, entity: Column, more: int) -> Column:
+    """The entity with `more` letters or digits of its own kind, as a form with room."""
+    last = F.when(kind == "name", F.regexp_extract(entity, r"(\p{L})\P{L}*$", 1)).otherwise(F.substring(entity, -1, 1))
+    return F.when(kind == "email", F.concat(F.lit("b" * more), entity)).when(kind == "ip", entity).otherwise(F.concat(entity, F.repeat(last, F.lit(more))))
+
+
+def surrogate(kind: Column, entity: Column, attempt: int, key: str) -> Column:
+    """A surrogate for a canonical entity: of the same length and form in the first `MAX_TRIES` attempts."""
+    loose = attempt >= MAX_TRIES
+    more = max(0, attempt - MAX_TRIES - MAX_TRIES // 4 + 4) // 4
+    original = entity
+    entity = _padded(kind, original, more) if more else original
+
+    def byte_at(noise: Column, i: Column | int) -> Column:
+        return F.conv(F.substring(noise, (i % 32) * 2 + 1 if isinstance(i, Column) else F.lit(i % 32 * 2 + 1), F.lit(2)), 16, 10).cast("int")
+
+    def quad(noise: Column) -> Column:
+        # A fifth number only where nearly all addresses there are must be taken.
+        return F.concat_ws(".", *[(byte_at(noise, i) % 255 + 1 if i == 0 else byte_at(noise, i)).cast("string") for i in range(4 if more < 64 else 5)])
 
     def spell(noise: Column) -> Column:
         n = F.length(entity)
@@ -101,11 +151,17 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
 
         def letter(i: Column) -> Column:
             here = F.substring(entity, i + 1, F.lit(1))
-            byte = F.conv(F.substring(noise, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-            swapped = here
+            byte = byte_at(noise, i)
+
+            def one_of(members: str) -> Column:
+                return F.substring(F.lit(members), byte % len(members) + 1, F.lit(1))
+
+            swapped = one_of(LATIN)
+            for script, members in SCRIPTS.items():
+                swapped = F.when(F.regexp_like(here, F.lit(rf"\p{{Is{script}}}")), one_of(members)).otherwise(swapped)
+            swapped = F.when(F.regexp_like(here, F.lit(r"\p{L}")), swapped).otherwise(here)
             for members in reversed(CLASSES):
-                pick = F.substring(F.lit(members), byte % len(members) + 1, F.lit(1))
-                swapped = F.when(F.contains(F.lit(members), here), pick).otherwise(swapped)
+                swapped = F.when(F.contains(F.lit(members), here), one_of(members)).otherwise(swapped)
             before = F.substring(entity, i, F.lit(1))
             start = (i == 0) | (before == ".")
             octet = F.length(F.regexp_extract(F.substring(entity, i + 1, n), r"^\d+", 0))
@@ -115,17 +171,15 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str) -> Column
                 .when(start, (byte % 9 + 1).cast("string"))
                 .otherwise((byte % 10).cast("string"))
             )
-            stay = (
-                ((kind == "email") & (i + 1 >= top))
-                | (kind.isin("phone", "card") & (i == 0))
-                | ((kind == "iban") & (i < 2))
-                | ((kind == "name") & ((i == n - 1) | F.substring(entity, i + 2, F.lit(1)).isin(" ")))
-            )
+            stay = ((kind == "email") & (i + 1 >= top)) | ((kind == "iban") & (i < 2))
+            if not loose:
+                stay = stay | (kind.isin("phone", "card") & (i == 0)) | ((kind == "name") & ((i == n - 1) | F.substring(entity, i + 2, F.lit(1)).isin(" ")))
             return F.when(kind == "ip", in_ip).when(stay, here).otherwise(swapped)
 
-        return F.array_join(F.transform(upto(n), letter), "")
+        spelled = F.array_join(F.transform(upto(n), letter), "")
+        return F.when(kind == "ip", quad(noise)).otherwise(spelled) if loose else spelled
 
-    noise = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, entity, attempt.cast("string")), 256)
+    noise = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, original, F.lit(str(attempt))), 256)
     spelled = let(noise, spell)
     return F.when(kind == "card", let(spelled, _luhn_fixed)).otherwise(spelled)
 
@@ -136,42 +190,46 @@ def entities_of(mentions: DataFrame) -> DataFrame:
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, entity, surrogate): distinct within a kind, and never an entity itself.
+    """(kind, entity, surrogate): distinct within a kind, and never an entity itself, however written.
 
-    Rounds go on until no collision is left; each works on what collided before. A kind so crowded
-    that `MAX_TRIES` rounds do not suffice gets the try number appended, which is distinct.
+    Rounds go on until no collision is left; each works on what collided before. After `MAX_TRIES`
+    rounds the forms widen from round to round, so every entity gets its surrogate. Capitals merge
+    some letters, so spellings are compared in capitals.
     """
     entities = settle(entities)
+    own = entities.select("kind", F.upper("entity").alias("_mark"))
     done: DataFrame | None = None
     waiting = entities
-    for attempt in range(MAX_TRIES):
-        tried = waiting.withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), F.lit(attempt), key))
-        taken = entities.select("kind", F.col("entity").alias("surrogate"))
-        if done is not None:
-            taken = taken.unionByName(done.select("kind", "surrogate"))
-        free = tried.join(taken, ["kind", "surrogate"], "left_anti")
-        winners = settle(free.groupBy("kind", "surrogate").agg(F.min("entity").alias("entity")).select("kind", "entity", "surrogate"))
+    for attempt in count_from():
+        tried = waiting.withColumn("surrogate", surrogate(F.col("kind"), F.col("entity"), attempt, key)).withColumn("_mark", F.upper("surrogate"))
+        taken = own if done is None else own.unionByName(done.select("kind", F.upper("surrogate").alias("_mark")))
+        free = tried.join(taken, ["kind", "_mark"], "left_anti")
+        first = free.groupBy("kind", "_mark").agg(F.min(F.struct("entity", "surrogate")).alias("_first"))
+        winners = settle(first.select("kind", "_first.entity", "_first.surrogate"))
         done = winners if done is None else settle(done.unionByName(winners))
         waiting = settle(waiting.join(winners.select("kind", "entity"), ["kind", "entity"], "left_anti"))
         if waiting.isEmpty():
             return done
-    rest = waiting.withColumn("surrogate", F.concat("entity", F.lit("x"), F.substring(F.sha2(F.concat(F.lit(key), "kind", "entity"), 256), 1, 16)))
-    return done.unionByName(rest)
 
 
 def render(kind: Column, mention: Column, entity: Column, substitute: Column) -> Column:
-    """The surrogate written like the mention: same punctuation, spacing, capitals and title."""
+    """The whole surrogate written like the mention: same punctuation, spacing, capitals and title."""
     title = F.when(kind == "name", F.regexp_extract(mention, TITLE, 0)).otherwise(F.lit(""))
     body = F.substring(mention, F.length(title) + 1, F.length(mention))
+    every = kind.isin("email", "ip", "name")
+    used = F.when(every, F.length(body)).otherwise(F.length(F.regexp_replace(body, r"[^\p{L}\p{N}]", "")))
+    rest = F.substring(substitute, used + 1, F.length(substitute))
+    rest = F.when((F.upper(body) == body) & (F.lower(body) != body), F.upper(rest)).otherwise(rest)
 
     def letter(i: Column) -> Column:
         here = F.substring(body, i + 1, F.lit(1))
-        place = F.when(kind.isin("email", "ip", "name"), i + 1).otherwise(F.length(F.regexp_replace(F.substring(body, F.lit(1), i + 1), r"[^\p{L}\p{N}]", "")))
+        place = F.when(every, i + 1).otherwise(F.length(F.regexp_replace(F.substring(body, F.lit(1), i + 1), r"[^\p{L}\p{N}]", "")))
         new = F.substring(substitute, place, F.lit(1))
-        fixed = ~kind.isin("email", "ip", "name") & ~F.regexp_like(here, F.lit(r"[\p{L}\p{N}]"))
-        return F.when(fixed, here).when(F.upper(here) == here, F.upper(new)).otherwise(new)
+        fixed = ~every & ~F.regexp_like(here, F.lit(r"[\p{L}\p{N}]"))
+        return F.when(fixed, here).when((F.upper(here) == here) & (F.lower(here) != here), F.upper(new)).otherwise(new)
 
-    return F.concat(title, F.array_join(F.transform(upto(F.length(body)), letter), ""))
+    written = F.concat(title, F.array_join(F.transform(upto(F.length(body)), letter), ""), rest)
+    return F.when(kind == "ip", substitute).otherwise(written)
 
 
 def pseudonymise(documents: DataFrame, secret: str, *, text: str = "text", count: str | None = None) -> DataFrame:

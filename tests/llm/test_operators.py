@@ -219,6 +219,21 @@ def test_surrogates_keep_form_and_identity(spark, docs, none):
     assert surrogates.pseudonymise(docs, "k").count() == docs.count() and surrogates.pseudonymise(none, "k").count() == 0
 
 
+def test_no_original_is_left_where_forms_run_out(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "MAX_TRIES", 8)
+    names = [f"{c}u" for c in "BCDFGHJKLMNPQRSTVWXYZ"] + ["Աբ", "Ѝ" + "ў", "Ցօ", "ΣΣ", "Aİ"]
+    quads = [f"{i // 729 + 1}.{i // 81 % 9 + 1}.{i // 9 % 9 + 1}.{i % 9 + 1}" for i in range(5000)]
+    mails = [f"{c}@b.co" for c in "bcdfghjklmnpqrstvwxyz"] + ["-@-.com"]
+    lines = [f"Dr {n}" for n in names] + [f"({q})" for q in quads] + [f"to {m}" for m in mails]
+    table = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in surrogates.pseudonymise(table, "k", count="n").filter("n = 1").collect()}
+    assert len(got) == len(lines) and not {t.upper() for t in got.values()} & {t.upper() for t in lines}
+    assert len({t.upper() for t in got.values()}) == len(lines)
+    assert all(got[i].startswith("Dr ") for i in range(len(names)))
+    octets = [got[i].strip("()").split(".") for i in range(len(names), len(names) + len(quads))]
+    assert all(len(o) == 4 and all(int(x) < 256 for x in o) for o in octets)
+
+
 def test_main_text(spark):
     page = """<html><head><title>t</title><style>p{}</style></head><body><header>Site</header><nav><ul><li><a href=x>Menu</a></ul></nav>
     <div class="ad">Buy, buy, buy, this, now.</div><article><h1>Head &amp; line</h1><p>First, with   words<br>and more.<p><b>Second &eacute;
