@@ -107,13 +107,14 @@ class Batch:
                 self.owner.append(np.full(len(own), at, np.uint32))
             self.keys[at].append(key)
 
-    def rows(self, buckets: int, kind: pa.DataType) -> Iterator[tuple]:
+    def rows(self, buckets: int, kind: pa.DataType, place: int) -> Iterator[tuple]:
         """(bucket, batch, head, payload): what the batch asks of each bucket, and its head.
 
+        The batch's id holds its place in the partition: neighbours may have the very same sets.
         A shingle that several sets of the batch have is asked once, with its count.
         """
         names = list(self.number)
-        batch = int.from_bytes(hashlib.blake2b(b"".join(names) + str(TaskContext.get().partitionId()).encode(), digest_size=8).digest(), "little", signed=True)
+        batch = int.from_bytes(hashlib.blake2b(b"".join(names) + f"{TaskContext.get().partitionId()} {place}".encode(), digest_size=8).digest(), "little", signed=True)
         token = np.concatenate(self.tokens) if self.tokens else np.zeros(0, np.uint64)
         owner = np.concatenate(self.owner) if self.owner else np.zeros(0, np.uint32)
         short = np.array([int.from_bytes(n[:8], "little") for n in names], np.uint64)
@@ -156,20 +157,20 @@ def _unpair(data: bytes) -> tuple[pa.Table, pa.Table]:
 
 
 def _asker(buckets: int, shingle: int, kind: pa.DataType):
-    def out(batch: Batch) -> pa.RecordBatch:
-        rows = list(batch.rows(buckets, kind))
+    def out(batch: Batch, place: int) -> pa.RecordBatch:
+        rows = list(batch.rows(buckets, kind, place))
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), _ASK.types)], schema=_ASK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current = Batch()
+        current, place = Batch(), 0
         for batch in batches:
             for part in W.slices(batch, "_text"):
                 current.add(part.column(0).to_pylist(), part.column(1), shingle)
                 if current.bytes >= BATCH_BYTES:
-                    yield out(current)
-                    current = Batch()
+                    yield out(current, place)
+                    current, place = Batch(), place + 1
         if current.number:
-            yield out(current)
+            yield out(current, place)
 
     return run
 

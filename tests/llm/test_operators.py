@@ -196,6 +196,19 @@ def test_jaccard_classes(docs, none, shingle, percent):
     assert jaccard.classes(none).count() == 0
 
 
+def test_jaccard_keeps_copies_that_fill_several_batches(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BATCH_BYTES", 1)
+    copies = spark.createDataFrame([(i, "a b c d e f", None, None, None, None, i) for i in range(40)], SCHEMA).coalesce(1)
+    path = scratch_path(spark, "copies")
+    copies.write.parquet(path)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = sorted((r["doc_id"], r["component_id"]) for r in jaccard.classes(spark.read.parquet(path)).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [(i, 0) for i in range(40)]
+
+
 def test_components_follow_long_chains(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in connect(links).collect()}
