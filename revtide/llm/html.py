@@ -48,7 +48,10 @@ UNLIKELY = re.compile(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
-TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>|<[!?][^>]*>", re.S)
+OPENING = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
+COMMENT_END = re.compile(r"--!?>")
+# A quote is read in one way only, so a scan never turns back.
+ATTRIBUTES = re.compile(r"""(?>[^>"']++|"[^"]*+"|'[^']*+'|["'])*+>""")
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
 BLANKS = re.compile(r"[\s]+")
 
@@ -89,19 +92,34 @@ def parse(page: str) -> Node:
     """The tree of a page. Text stays as it is, character references included."""
     root = Node("html", None)
     open_: list[Node] = [root]
-    place, low = 0, None
+    place, low, quoted = 0, None, True
 
     def text(until: int) -> None:
         if until > place:
             open_[-1].children.append(page[place:until])
 
-    while match := TOKEN.search(page, place):
+    while match := OPENING.search(page, place):
+        tag, begin = match[2], match.end()
+        if match[0] == "<!--":
+            text(match.start())
+            close = COMMENT_END.search(page, begin)
+            place = close.end() if close else len(page)
+            continue
+        ending = ATTRIBUTES.match(page, begin) if tag and quoted else None
+        # Once quotes hide every later '>', they are no longer minded: each page has one such scan at most.
+        quoted = quoted and (tag is None or ending is not None)
+        end = ending.end() if ending else page.find(">", begin) + 1
+        if not end:  # no tag ends any more: the rest is text, up to a comment that stays open
+            comment = page.find("<!--", begin)
+            if comment >= 0:
+                text(comment)
+                place = len(page)
+            break
         text(match.start())
-        place = match.end()
-        tag = match[2]
+        place = end
         if tag is None:
             continue
-        tag = tag.lower()
+        tag, attributes = tag.lower(), page[begin : end - 1]
         if match[1]:
             for i in range(len(open_) - 1, 0, -1):
                 if open_[i].tag == tag:
@@ -111,7 +129,7 @@ def parse(page: str) -> Node:
                     break
             continue
         if tag in RAW or tag == "title":
-            if match[3].endswith("/"):
+            if attributes.endswith("/"):
                 continue
             low = page.lower() if low is None or len(low) != len(page) else low
             source = low if len(low) == len(page) else page
@@ -136,9 +154,9 @@ def parse(page: str) -> Node:
                     break
         if open_[-1].tag == "head" and tag not in ("meta", "link", "base"):
             open_.pop()
-        node = Node(tag, open_[-1], _unwanted(tag, match[3], open_[-1]))
+        node = Node(tag, open_[-1], _unwanted(tag, attributes, open_[-1]))
         open_[-1].children.append(node)
-        if tag not in VOID and not match[3].endswith("/"):
+        if tag not in VOID and not attributes.endswith("/"):
             open_.append(node)
     text(len(page))
     return root

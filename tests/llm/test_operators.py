@@ -262,6 +262,14 @@ def test_main_text(spark):
     assert html.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+def test_pages_without_a_closing_bracket_end():
+    plain = "if a <b then " + "it's so " * 1001
+    assert html.main_text(plain) == plain.strip()
+    cut = "<p>Kept, text.</p><div " + "data-x='{\"a\": 1}' title=\"it's\" " * 1000
+    for page in (cut, cut + "data-y='", cut + 'data-y="', "<p>Kept, text.</p>" + "<b it's " * 50_000, "<p>Kept, text.</p>" + "<b '>' " * 50_000):
+        assert html.main_text(page).startswith("Kept, text.")
+
+
 def test_pipeline_stages_keep_columns(spark):
     import corpus_pipeline
 
