@@ -1,7 +1,9 @@
 """Main text of web pages by tree scoring.
 
 The page becomes a tree of elements (forgiving: unclosed and stray tags are repaired the usual way).
-Elements that never hold the article (menus, footers, sidebars, forms, adverts, comments, ...) are cut.
+Elements that never hold the article (menus, footers, forms, hidden ones, ...) are cut. Those whose class
+or id only sounds so (sidebar, widget, comments, ...) are cut where all elements named by that word hold
+little of the page's text or where they are mostly links, but never one that holds most of the text.
 Every paragraph then passes points for its length and commas to its ancestors, halved for the second
 and divided by three times the distance beyond; a container's points are discounted by its share of
 text inside links. The best container is kept with those siblings that score well or read like text.
@@ -40,28 +42,32 @@ SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 WALLS = frozenset("html body article aside blockquote div dl footer form header main nav ol section table td th ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 UNLIKELY = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|"
+    r"(?<![^\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|"
     r"masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo|promoted|related|remarks|replies|"
     r"share|sharing|shoutbox|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget|alert|skip|reader-comments|topbar|bottombar)"
-    r"(?:$|[\s_-])",
+    r"(?![^\s_-])",
     re.I,
 )
+# Names that tell a state of the page, not what an element is.
+STATE = re.compile(r"(?<!\S)(?:(?:has|no|not|with|without)[_-]\S*|\S*[_-](?:open|opened|closed|enabled|disabled))(?!\S)", re.I)
+LEAST_SHARE, MOST_LINKS = 0.25, 0.5
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 OPENING = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*+))")
 COMMENT_END = re.compile(r"--!?>")
 # A quote is read in one way only, so a scan never turns back.
 ATTRIBUTES = re.compile(r"""(?>[^>"']++|"[^"]*+"|'[^']*+'|["'])*+>""")
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 BLANKS = re.compile(r"[\s]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "cut", "points")
+    __slots__ = ("tag", "parent", "children", "cut", "doubts", "points")
 
     def __init__(self, tag: str, parent: "Node | None", cut: bool = False):
         self.tag, self.parent, self.cut = tag, parent, cut
         self.children: list[Node | str] = []
+        self.doubts: frozenset[str] = frozenset()
         self.points = 0.0
 
 
@@ -79,8 +85,6 @@ def _unwanted(tag: str, attributes: str, parent: Node) -> bool:
         return False
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
-        if name in ("class", "id") and UNLIKELY.search(value):
-            return True
         if name == "role" and value.lower() in ROLES:
             return True
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
@@ -88,6 +92,14 @@ def _unwanted(tag: str, attributes: str, parent: Node) -> bool:
     return False
 
 
+def _doubts(tag: str, attributes: str) -> frozenset[str]:
+    """The words in class and id by which an element may be no part of the article."""
+    if not attributes or tag in ("body", "html", "article", "main"):
+        return frozenset()
+    named = [next((v for v in values if v), "") for name, *values in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id")]
+    return frozenset(word.lower() for value in named for word in UNLIKELY.findall(STATE.sub(" ", value)))
+
+
 def parse(page: str) -> Node:
     """The tree of a page. Text stays as it is, character references included."""
     root = Node("html", None)
@@ -155,6 +167,8 @@ def parse(page: str) -> Node:
         if open_[-1].tag == "head" and tag not in ("meta", "link", "base"):
             open_.pop()
         node = Node(tag, open_[-1], _unwanted(tag, attributes, open_[-1]))
+        if not node.cut:
+            node.doubts = _doubts(tag, attributes)
         open_[-1].children.append(node)
         if tag not in VOID and not attributes.endswith("/"):
             open_.append(node)
@@ -216,11 +230,36 @@ def _above(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
+def _judge(root: Node) -> None:
+    """Cut the doubtful elements that are no part of the article."""
+    total = 0
+    own: dict[Node, list[int]] = {}
+    by_word: dict[str, int] = {}
+    stack: list[tuple[Node, tuple[Node, ...], bool]] = [(root, (), False)]
+    while stack:
+        here, doubtful, link = stack.pop()
+        doubtful, link = (*doubtful, here) if here.doubts else doubtful, link or here.tag == "a"
+        size = sum(len(child.strip()) for child in here.children if isinstance(child, str))
+        read = 0 if link else size
+        total += read
+        for node in doubtful if size else ():
+            sums = own.setdefault(node, [0, 0])
+            sums[0] += size
+            sums[1] += read
+        for word in frozenset().union(*(node.doubts for node in doubtful)) if read else ():
+            by_word[word] = by_word.get(word, 0) + read
+        stack.extend((child, doubtful, link) for child in here.children if isinstance(child, Node) and not child.cut)
+    for node, (size, read) in own.items():
+        little = any(by_word.get(word, 0) < LEAST_SHARE * total for word in node.doubts)
+        node.cut = 2 * read <= total and (little or size - read > MOST_LINKS * size)
+
+
 def main_text(page: str | None) -> str:
     """The article of a page."""
     if not page:
         return ""
     root = parse(page)
+    _judge(root)
     found = blocks(root)
     if not found:
         return ""

@@ -262,6 +262,18 @@ def test_main_text(spark):
     assert html.main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+def test_articles_in_elements_with_unlikely_names_stay():
+    lines = [f"Paragraph {i} of the story, with some words, and more." for i in range(6)]
+    wanted = "\n".join(lines)
+    for name in ("elementor-widget elementor-widget-text-editor", "container has-sidebar", "content no-sidebar", "post comments-open"):
+        assert html.main_text(f"<div><div class='{name}'>" + "".join(f"<p>{x}</p>" for x in lines) + "</div></div>") == wanted
+        assert html.main_text("<main>" + "".join(f"<div class='{name}'><p>{x}</p></div>" for x in lines) + "</main>") == wanted
+    for given in ("title='The hidden truth'", "data-hidden='false'", "data-id='ad-12'", "data-class=ad"):
+        assert html.main_text("<div>" + "".join(f"<p {given}>{x}</p>" for x in lines) + "</div>") == wanted
+    noise = "<div class='site-sidebar'><p>Short.</p></div><div id=share><a href=x>Tell it to all</a></div><p hidden>No.</p><p><span class='ad'>Buy.</span></p>"
+    assert html.main_text("<div>" + "".join(f"<p>{x}</p>" for x in lines) + noise + "</div>") == wanted
+
+
 def test_pages_without_a_closing_bracket_end():
     plain = "if a <b then " + "it's so " * 1001
     assert html.main_text(plain) == plain.strip()
