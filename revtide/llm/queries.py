@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revtide.llm import bpe, contamination, html, jaccard, quality, rules, secrets, substrings, surrogates, urls
+from revtide.llm import bpe, contamination, html, jaccard, mixing, quality, rules, secrets, substrings, surrogates, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
@@ -21,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         substrings.op7_substring_dedup,
         jaccard.op8_jaccard_join,
         html.op10_html_main_text,
+        mixing.op11_source_mix,
     )
 }
