@@ -142,10 +142,37 @@ reach(node, root) AS (
 SELECT doc_id, coalesce(n, 0) n_shingles, min(root) component_id
 FROM docs JOIN reach ON node = doc_id LEFT JOIN size USING (doc_id) GROUP BY ALL"""
 
+# What ends a piece, and what lies between its words.
+_COLLOCATIONS = f"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') lang,
+    list_filter(string_split_regex(unnest(string_split_regex({_low("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')), '[\\x20\\x09]+'), lambda x: x <> '') w
+  FROM documents),
+total AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) n FROM piece GROUP BY lang),
+gram AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) g
+  FROM piece, (SELECT unnest(range(1, 6)) k) WHERE len(w) >= k),
+held AS (SELECT lang, k, g, CAST(count(*) AS HUGEINT) a FROM gram GROUP BY lang, k, g HAVING count(*) >= 100),
+longer AS (
+  SELECT lang, k, a, unnest(list_transform(range(2, k), lambda j: list_transform(range(1, k - j + 2), lambda i: g[i:i + j - 1]))) gs FROM held WHERE k > 2),
+inner_ AS (SELECT DISTINCT lang, a, unnest(gs) g FROM longer),
+kept AS (SELECT * FROM held h WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM inner_ i WHERE i.lang = h.lang AND i.g = h.g AND 100 * i.a >= 100 * h.a)),
+cut AS (SELECT *, unnest(range(1, k)) c FROM kept),
+scored AS (
+  SELECT t.lang, t.g, t.a, f.a l, r.a r, n, c, (1000 * t.a * n) // (f.a * r.a) score
+  FROM cut t JOIN held f ON f.lang = t.lang AND f.g = t.g[1:c] JOIN held r ON r.lang = t.lang AND r.g = t.g[c + 1:] JOIN total o ON o.lang = t.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1),
+ranked AS (
+  SELECT *, array_to_string(g, ' ') phrase,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(g, ' '))) rank FROM best)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) a, CAST(l AS BIGINT) l, CAST(r AS BIGINT) r, CAST(n AS BIGINT) n, CAST(score AS BIGINT) score
+FROM ranked WHERE rank <= 2000"""
+
 ORACLES: dict[str, str] = {
     "op1_secret_scan": _secrets(),
     "op5_decontamination": _CONTAINMENT,
     "op6_quality_rules": _quality_rules(),
     "op7_substring_dedup": _SUBSTRINGS,
+    "op13_collocations": _COLLOCATIONS,
     "op8_jaccard_join": _JACCARD,
 }
