@@ -40,7 +40,7 @@ LONGEST = 5
 LEAST = 100
 TOP = 2000
 ROWS_PER_GROUP = 2_000_000
-WORDS_PER_FLUSH = 2_000_000
+WORDS_PER_FLUSH = 600_000
 MAX_BITS = 27
 WORDS = "lang string, hash long, word string, n long"
 _WORDS = pa.schema([("lang", pa.string()), ("hash", pa.int64()), ("word", pa.string()), ("n", pa.int64())])
@@ -189,6 +189,7 @@ def _router(frequent, heavy, bits: int, buckets: int):
                     route[(route == size) & hot] += 1
             _, first, n = np.unique(whole, return_index=True, return_counts=True)
             at, route, target = at[first], route[first], target[first]
+            del whole, prefix, slots, spot, hot, place, known
             rows = np.zeros((LONGEST, len(at)), np.uint64)
             alive = np.ones(len(at), bool)
             for i in range(LONGEST):
