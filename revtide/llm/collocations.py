@@ -5,9 +5,10 @@ tabs, A-Z lower-cased. A suffix pointer stands at each word and is followed to `
 piece. Everything is counted per language.
 
 1. One scan counts words, and prefixes of every length by hash slots. Both are summed by Spark.
-2. Words below the threshold cut suffixes short. Tasks know frequent words from a bitmap of hash slots of
-   bounded size; what it lets through too much is only sorted in vain.
-3. A second scan routes suffix pointers by their leading words: by one word, or by as many as it takes until
+2. Words below the threshold cut suffixes short, and so do pairs of words. Tasks know frequent words and, counted
+   in another scan, slots of pairs that may be frequent from bitmaps of bounded size; what these let through too
+   much is only sorted in vain.
+3. A last scan routes suffix pointers by their leading words: by one word, or by as many as it takes until
    fewer than `ROWS_PER_GROUP` pointers share the slot of that prefix. A task sends equal suffixes once, with
    their number, packed per group.
 4. A group sorts its pointers with a three-way partition on one word at a time. The partition equal to the
@@ -42,6 +43,7 @@ TOP = 2000
 ROWS_PER_GROUP = 2_000_000
 WORDS_PER_FLUSH = 600_000
 MAX_BITS = 27
+BLOCKS = 8  # a bitmap is built in 2 ** BLOCKS blocks
 WORDS = "lang string, hash long, word string, n long"
 _WORDS = pa.schema([("lang", pa.string()), ("hash", pa.int64()), ("word", pa.string()), ("n", pa.int64())])
 ROUTED = "bucket long, payload binary"
@@ -155,20 +157,68 @@ def _counter(bits: int):
 # -- routing and sorting suffix pointers -------------------------------------------------------
 
 
-def _router(frequent, heavy, bits: int, buckets: int):
+def _marked(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether the bitmap has the leading bits of each hash."""
+    place = hashes >> np.uint64(64 - (int(len(packed) * 8).bit_length() - 1))
+    return (packed[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def _frequent_runs(blocks: list[Block], frequent) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a flush, and whether a word and the next one of its piece are both frequent."""
+    hashes = np.concatenate([b.hashes for b in blocks])
+    joined = np.concatenate([b.joined for b in blocks])
+    known = _marked(np.frombuffer(frequent.value, np.uint8), hashes)
+    return hashes, joined & known & np.append(known[1:], False)
+
+
+def _pairs(hashes: np.ndarray, joined: np.ndarray) -> np.ndarray:
+    """Hash of the words at each position and after it, 0 where they are not joined."""
+    both = prefixes(hashes, joined)
+    next(both)
+    return next(both)
+
+
+def _pair_counter(frequent, bits: int):
+    """Rows (block, payload): how often the slots of a block of the pair bitmap occur in a flush."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for blocks in _flushes(batches):
+            hashes, joined = _frequent_runs(blocks, frequent)
+            pairs = _pairs(hashes, joined)
+            slots, n = np.unique((pairs[joined] >> np.uint64(64 - bits)).astype(np.uint32), return_counts=True)
+            block = slots >> np.uint32(bits - BLOCKS)
+            edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, int)
+            ends = np.append(edges[1:], len(block))
+            payloads = [S.squeeze(np.diff(slots[a:b], prepend=slots[a]).tobytes() + slots[a].tobytes() + n[a:b].astype(np.uint32).tobytes()) for a, b in zip(edges, ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(block[edges].astype(np.int64)), pa.array(payloads, pa.binary())], schema=_ROUTED)
+
+    return run
+
+
+def _pair_flags(bits: int, least: int):
+    def run(table: pa.Table) -> pa.Table:
+        width = 1 << (bits - BLOCKS)
+        total = np.zeros(width, np.int64)
+        for payload in table["payload"].drop_null():
+            data = np.frombuffer(S.unsqueeze(payload.as_py()), np.uint32)
+            size = len(data) // 2
+            slots = np.cumsum(data[:size], dtype=np.int64) + data[size]
+            total[slots & (width - 1)] += data[size + 1 :]
+        flags = np.packbits(total >= least, bitorder="little").tobytes()
+        return pa.table({"block": table["bucket"][:1], "flags": pa.array([flags], pa.binary())})
+
+    return run
+
+
+def _router(frequent, paired, heavy, bits: int, buckets: int):
     """Rows (bucket, payload): the distinct suffixes of a flush with their numbers and routes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = np.frombuffer(frequent.value, np.uint8)
-        shift = np.uint64(64 - (int(len(packed) * 8).bit_length() - 1))
         many = heavy.value
         for blocks in _flushes(batches):
-            hashes = np.concatenate([b.hashes for b in blocks])
-            joined = np.concatenate([b.joined for b in blocks])
+            hashes, joined = _frequent_runs(blocks, frequent)
             del blocks
-            place = hashes >> shift
-            known = (packed[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
-            joined &= known & np.append(known[1:], False)
+            joined &= _marked(np.frombuffer(paired.value, np.uint8), _pairs(hashes, joined))
             at = np.flatnonzero(joined)
             if not len(at):
                 continue
@@ -189,14 +239,14 @@ def _router(frequent, heavy, bits: int, buckets: int):
                     route[(route == size) & hot] += 1
             _, first, n = np.unique(whole, return_index=True, return_counts=True)
             at, route, target = at[first], route[first], target[first]
-            del whole, prefix, slots, spot, hot, place, known
+            del whole, prefix, slots, spot, hot
             rows = np.zeros((LONGEST, len(at)), np.uint64)
             alive = np.ones(len(at), bool)
             for i in range(LONGEST):
                 rows[i, alive] = hashes[at[alive] + i]
                 alive[alive] = joined[at[alive] + i]
             bucket = (W.mix(target) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((rows[1], rows[0], bucket))
             bucket = bucket[order]
             edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             ends = np.append(edges[1:], len(bucket))
@@ -210,7 +260,7 @@ def _pack(rows: np.ndarray, n: np.ndarray, route: np.ndarray) -> bytes:
     """Suffixes as numbers of words in a list of their hashes; 0 is the end of a suffix."""
     found, place = np.unique(rows, return_inverse=True)
     head = np.array([len(found), rows.shape[1]], np.int64)
-    return S.squeeze(head.tobytes() + found.tobytes() + place.astype(np.int32).reshape(rows.shape).tobytes() + n.astype(np.int64).tobytes() + route.tobytes())
+    return S.squeeze(head.tobytes() + found.tobytes() + place.astype(np.uint16 if len(found) < 65536 else np.uint32).reshape(rows.shape).tobytes() + n.astype(np.int64).tobytes() + route.tobytes())
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -219,8 +269,9 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     at = 16
     found = np.frombuffer(data, np.uint64, words, at)
     at += 8 * words
-    place = np.frombuffer(data, np.int32, LONGEST * width, at).reshape(LONGEST, width)
-    at += 4 * LONGEST * width
+    kind = np.dtype(np.uint16 if words < 65536 else np.uint32)
+    place = np.frombuffer(data, kind, LONGEST * width, at).reshape(LONGEST, width)
+    at += kind.itemsize * LONGEST * width
     n = np.frombuffer(data, np.int64, width, at)
     return found, place, n, np.frombuffer(data, np.uint8, width, at + 8 * width)
 
@@ -282,24 +333,30 @@ def _sorter(least: int):
 # -- counting ----------------------------------------------------------------------------------
 
 
-def _bitmap(spark: SparkSession, hashes: DataFrame) -> bytes:
-    """Bitmap of the leading bits of the hashes, built in blocks by Spark: 2 ** MAX_BITS bits at most."""
+def _gather(blocks: DataFrame) -> bytes:
+    """A bitmap from all its blocks (block, flags); 2 ** (MAX_BITS - 3) bytes at most."""
+    table = blocks.toArrow()
+    return b"".join(flags for _, flags in sorted(zip(table["block"].to_pylist(), table["flags"].to_pylist())))
+
+
+def _every_block(spark: SparkSession, df: DataFrame, key: str) -> DataFrame:
+    """Add a row with nothing but the key for each block, so that none is missing."""
+    return df.unionByName(spark.range(1 << BLOCKS).select(F.col("id").alias(key)), allowMissingColumns=True)
+
+
+def _word_bitmap(spark: SparkSession, hashes: DataFrame) -> bytes:
+    """Bitmap of the leading bits of the hashes, built by Spark."""
     bits = min(MAX_BITS, max(16, math.ceil(math.log2(1 + 16 * hashes.count()))))
-    block = 16
+    width = 1 << (bits - BLOCKS)
     place = F.shiftrightunsigned("hash", 64 - bits)
-    rows = hashes.select(F.shiftright(place, block).alias("block"), place.bitwiseAND(F.lit((1 << block) - 1)).cast("int").alias("bit")).distinct()
+    rows = hashes.select(F.shiftright(place, bits - BLOCKS).alias("block"), place.bitwiseAND(F.lit(width - 1)).cast("int").alias("bit")).distinct()
 
     def build(table: pa.Table) -> pa.Table:
-        flags = np.zeros(1 << block, np.uint8)
-        flags[table["bit"].to_numpy()] = 1
+        flags = np.zeros(width, bool)
+        flags[table["bit"].drop_null().to_numpy()] = True
         return pa.table({"block": table["block"][:1], "flags": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
 
-    blocks = per_group(rows, "block", build, "block long, flags binary").toArrow()  # at most 2 ** (MAX_BITS - 3) bytes
-    out = bytearray(1 << (bits - 3))
-    size = 1 << (block - 3)
-    for at, flags in zip(blocks["block"].to_pylist(), blocks["flags"].to_pylist()):
-        out[at * size : (at + 1) * size] = flags
-    return bytes(out)
+    return _gather(per_group(_every_block(spark, rows, "block"), "block", build, "block long, flags binary"))
 
 
 def phrase_counts(
@@ -312,13 +369,16 @@ def phrase_counts(
     letters = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(S.parts_of(documents), math.ceil(letters / 6 / rows_per_group))
     bits = max(12, math.ceil(math.log2(16 * buckets)))
-    counted = map_arrow(rows, _counter(bits), WORDS).groupBy("lang", "hash").agg(F.first("word", ignorenulls=True).alias("word"), F.sum("n").alias("n"))
+    counted = map_arrow(rows, _counter(bits), WORDS).groupBy("lang", "hash", "word").agg(F.sum("n").alias("n"))
     counted = settle(counted)
     vocabulary = counted.filter(F.col("lang").isNotNull())
     slots = counted.filter(F.col("lang").isNull() & (F.col("n") > rows_per_group)).select("hash").toArrow()  # LONGEST * words / rows_per_group at most
     heavy = spark.sparkContext.broadcast(np.sort(slots["hash"].to_numpy().astype(np.int64)))
-    frequent = spark.sparkContext.broadcast(_bitmap(spark, vocabulary.filter(F.col("n") >= least).select("hash")))
-    routed = map_arrow(rows, _router(frequent, heavy, bits, buckets), ROUTED)
+    frequent = spark.sparkContext.broadcast(_word_bitmap(spark, vocabulary.filter(F.col("n") >= least).select("hash")))
+    pair_bits = min(MAX_BITS, max(16, math.ceil(math.log2(1 + letters / 150))))  # a slot for some 25 words
+    pairs = _every_block(spark, map_arrow(rows, _pair_counter(frequent, pair_bits), ROUTED), "bucket")
+    paired = spark.sparkContext.broadcast(_gather(per_group(pairs, "bucket", _pair_flags(pair_bits, least), "block long, flags binary")))
+    routed = map_arrow(rows, _router(frequent, paired, heavy, bits, buckets), ROUTED)
     names = [f"w{i}" for i in range(LONGEST)]
     sums = per_group(routed, "bucket", _sorter(least), COUNTED).groupBy("size", *names).agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
     phrases = sums.select(F.slice(F.array(*names), F.lit(1), F.col("size")).alias("words"), "a")
