@@ -168,11 +168,40 @@ ranked AS (
 SELECT lang, rank, phrase, CAST(a AS BIGINT) a, CAST(l AS BIGINT) l, CAST(r AS BIGINT) r, CAST(n AS BIGINT) n, CAST(score AS BIGINT) score
 FROM ranked WHERE rank <= 2000"""
 
+# A checksum of the decimal id: bit by bit with its fixed polynomial.
+_BITS = "list_reduce(list_prepend(xor(r, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))"
+_CRC = f"""xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+  list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))), lambda r, b: {_BITS}))"""
+_TRIE = f"""
+WITH turns AS (
+  SELECT conv_id c, coalesce(role, '') who, coalesce("text", '') said, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, {_CRC} % 6 h, c - c % 100 base FROM (SELECT DISTINCT c FROM turns)),
+whole AS (
+  SELECT i.c, 0 part, pos, who, said FROM ids i JOIN turns t ON t.c = i.base WHERE pos <= h
+  UNION ALL SELECT c, 1, pos, who, said FROM ids JOIN turns USING (c) WHERE pos > h),
+placed AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, pos) d, length(said) size, sha256(length(who) || ':' || who || said) one FROM whole),
+held AS (
+  SELECT c, 0 d, 0 size, '' k FROM ids
+  UNION ALL SELECT c, d, size, string_agg(one, '') OVER (PARTITION BY c ORDER BY d) FROM placed),
+linked AS (SELECT *, lag(k) OVER (PARTITION BY c ORDER BY d) up, d = max(d) OVER (PARTITION BY c) final FROM held),
+node AS (
+  SELECT k, any_value(d) d, any_value(up) up, min(c) conv_id, count(*) n, any_value(size) size,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (final), '')) ends_sha256
+  FROM linked GROUP BY k),
+kids AS (SELECT up k, count(*) n_children FROM node WHERE d > 0 GROUP BY up),
+full_ AS (SELECT node.*, coalesce(n_children, 0) n_children FROM node LEFT JOIN kids USING (k)),
+below AS (
+  SELECT h.k, sum((n - 1) * f.size) saved, count(*) FILTER (n_children = 0) leaves FROM full_ f JOIN held h ON h.c = f.conv_id AND h.d <= f.d GROUP BY h.k)
+SELECT f.conv_id, f.d depth, p.conv_id parent_conv_id, f.n n_convs, f.n_children, leaves n_leaves, CAST(saved AS BIGINT) saved_tokens, f.ends_sha256
+FROM full_ f JOIN below USING (k) LEFT JOIN node p ON p.k = f.up"""
+
 ORACLES: dict[str, str] = {
     "op1_secret_scan": _secrets(),
     "op5_decontamination": _CONTAINMENT,
     "op6_quality_rules": _quality_rules(),
     "op7_substring_dedup": _SUBSTRINGS,
+    "op12_prefix_trie": _TRIE,
     "op13_collocations": _COLLOCATIONS,
     "op8_jaccard_join": _JACCARD,
 }

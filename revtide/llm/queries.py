@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revtide.llm import bpe, collocations, contamination, html, jaccard, mixing, quality, rules, secrets, substrings, surrogates, urls
+from revtide.llm import bpe, collocations, contamination, html, jaccard, mixing, quality, rules, secrets, substrings, surrogates, trie, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         jaccard.op8_jaccard_join,
         html.op10_html_main_text,
         mixing.op11_source_mix,
+        trie.op12_prefix_trie,
         collocations.op13_collocations,
     )
 }
