@@ -38,6 +38,7 @@ HEADS = 6  # conversations share up to HEADS - 1 turns
 GROUP = 100
 IDS_PER_CHUNK_BITS = 12
 DEPTHS_PER_ROW = 10_000
+PROBES_PER_STAGE = 2
 
 
 def _code(depth: Column) -> Column:
@@ -128,7 +129,8 @@ def _locate(waiting: DataFrame, nodes: DataFrame, paths: DataFrame, probes: int)
         joined = df.withColumn("depth", depth).join(paths.select("sid", "depth", "code"), ["sid", "depth"], "left")
         return joined.withColumn("code", F.coalesce("code", none)).drop("depth")
 
-    for _ in range(probes):
+    done = None
+    for probe in range(1, probes + 1):
         open_ = F.col("a") < F.col("b")
         state = coded(state.withColumn("f", F.when(open_, two_fattest(F.col("a"), F.col("b"))).otherwise(0)), F.col("f"))
         state = state.join(handles, "code", "left")
@@ -140,7 +142,14 @@ def _locate(waiting: DataFrame, nodes: DataFrame, paths: DataFrame, probes: int)
             F.when(open_ & ~hit, F.col("f") - 1).otherwise(F.col("b")).alias("b"),
             F.coalesce("hit", "node").alias("node"),
         )
-    state = coded(state, F.coalesce("node.hi", F.lit(0).cast("long")) + 1).join(names, "code", "left")
+        if probe % PROBES_PER_STAGE == 0 or probe == probes:  # short plans; strings that are found stay behind
+            state = settle(state)
+            found = state.filter(F.col("a") >= F.col("b"))
+            done = found if done is None else done.unionByName(found)
+            state = state.filter(F.col("a") < F.col("b"))
+            if probe < probes and state.isEmpty():
+                break
+    state = coded(done, F.coalesce("node.hi", F.lit(0).cast("long")) + 1).join(names, "code", "left")
     state = state.select("sid", "size", F.coalesce("child", "node").alias("node")).select("sid", "size", F.col("node.id").alias("exit"), "node.rep", "node.lo", "node.hi")
     along = state.filter(F.col("exit").isNotNull()).select("sid", "rep", "lo", "hi").join(paths.select("sid", "depth", "code"), "sid")
     along = along.filter((F.col("depth") > F.col("lo")) & (F.col("depth") <= F.col("hi"))).select("sid", "rep", "depth", "code")
