@@ -21,7 +21,7 @@ from revtide.plans.runs import ROWS_PER_SLICE
 from revtide.schemas import SAMPLE_KEY
 from revtide.session import settle
 
-USERS_PER_BLOCK = 10_000
+USERS_PER_BLOCK = 1_000
 
 
 def page_user_counts(history: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -37,19 +37,19 @@ def page_user_counts(history: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def sample_page_users(
+def period_counts(
     samples: DataFrame,
     revisions: DataFrame,
     history: DataFrame,
     *,
     period: str = "1 YEAR",
     rows_per_slice: int | None = ROWS_PER_SLICE,
-) -> DataFrame:
-    """`page_user_counts` per sample: its editors, over the `period` before the tag.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The editors of each sample, each editor's tags by rank, and their edits by page and by the tags they count for.
 
     Each user's history is cut once at both ends of all their periods. Periods of one user start and
     end in the order of their tags, so a revision lies in the periods of tags e+1 .. s, where s
-    starts and e ends came before it: counts per (user, page, s, e) are spread over just those tags.
+    starts and e ends came before it: edits are counted per (user, page, s, e).
     """
     editors = settle(sample_editors(samples, revisions))
     tags = editors.select("event_user_id", "tag_date").distinct()
@@ -82,6 +82,22 @@ def sample_page_users(
     ranked = tags.withColumn(
         "tag_rank", F.row_number().over(Window.partitionBy("event_user_id").orderBy("tag_date")).cast("long")
     )
+    return editors, ranked, counted
+
+
+def sample_page_users(
+    samples: DataFrame,
+    revisions: DataFrame,
+    history: DataFrame,
+    *,
+    period: str = "1 YEAR",
+    rows_per_slice: int | None = ROWS_PER_SLICE,
+) -> DataFrame:
+    """`page_user_counts` per sample: its editors, over the `period` before the tag.
+
+    Counts are spread over just the tags they belong to.
+    """
+    editors, ranked, counted = period_counts(samples, revisions, history, period=period, rows_per_slice=rows_per_slice)
     per_tag = (
         counted.withColumn("tag_rank", F.explode(F.sequence(F.col("ended") + 1, F.col("started"))))
         .groupBy("event_user_id", "tag_rank", "page_id")
@@ -100,37 +116,23 @@ def sample_page_users(
     )
 
 
-def _pairs(
-    page_users: DataFrame, by: Sequence[str], page: str, users_per_block: int
-) -> DataFrame:
-    """Each unordered pair of users on a page once, user_a < user_b, with both sides' counts.
+def met(rows: DataFrame, group: Sequence[str], values: Sequence[str], users_per_block: int) -> DataFrame:
+    """Each unordered pair of users of a group once, user_a < user_b, with both sides' values.
 
-    Users of a page with more than `users_per_block` of them are hashed into blocks and each pair
-    of blocks is joined on its own, so one page spreads over many tasks. The list of such pages has
-    at most rows / users_per_block rows.
+    Users of a group with more than `users_per_block` of them are hashed into blocks and each pair of blocks
+    is joined on its own, so a crowded group is a grid of joins of bounded size. Group sizes, one row per
+    group, are joined as any other table.
     """
-    group = [*by, page]
-    crowded = (
-        page_users.groupBy(*group)
-        .agg(F.ceil(F.count(F.lit(1)) / F.lit(users_per_block)).cast("int").alias("_blocks"))
-        .filter(F.col("_blocks") > 1)
-    )
-    blocks = F.coalesce("_blocks", F.lit(1))
-    placed = page_users.join(F.broadcast(crowded), group, "left").select(
-        *group,
-        "event_user_id",
-        "revisions_count",
-        "page_namespace",
-        blocks.alias("_blocks"),
-        F.pmod(F.xxhash64("event_user_id"), blocks).cast("int").alias("_block"),
+    sizes = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / F.lit(users_per_block)).cast("int").alias("_blocks"))
+    placed = rows.join(sizes, list(group)).select(
+        *group, "event_user_id", *values, "_blocks", F.pmod(F.xxhash64("event_user_id"), F.col("_blocks")).cast("int").alias("_block")
     )
 
     def side(suffix: str, low: Column, high: Column) -> DataFrame:
         return placed.select(
             *group,
             F.col("event_user_id").alias(f"user_{suffix}"),
-            F.col("revisions_count").alias(f"count_{suffix}"),
-            F.col("page_namespace").alias(f"ns_{suffix}"),
+            *[F.col(c).alias(f"{c}_{suffix}") for c in values],
             low.alias("_low"),
             high.alias("_high"),
         )
@@ -138,32 +140,31 @@ def _pairs(
     left = side("1", F.col("_block"), F.explode(F.sequence("_block", F.col("_blocks") - 1)))
     right = side("2", F.explode(F.sequence(F.lit(0), "_block")), F.col("_block"))
     ordered = F.col("user_1") < F.col("user_2")
-    met = left.join(right, [*group, "_low", "_high"]).filter((F.col("_low") < F.col("_high")) | ordered)
+    both = left.join(right, [*group, "_low", "_high"]).filter((F.col("_low") < F.col("_high")) | ordered)
 
     def pick(first: str, second: str) -> Column:
         return F.when(ordered, F.col(first)).otherwise(F.col(second))
 
-    return met.select(
+    return both.select(
         *group,
         F.least("user_1", "user_2").alias("user_a"),
         F.greatest("user_1", "user_2").alias("user_b"),
-        pick("count_1", "count_2").alias("count_a"),
-        pick("count_2", "count_1").alias("count_b"),
-        pick("ns_1", "ns_2").alias("ns_a"),
-        pick("ns_2", "ns_1").alias("ns_b"),
+        *[pick(f"{c}_1", f"{c}_2").alias(f"{c}_a") for c in values],
+        *[pick(f"{c}_2", f"{c}_1").alias(f"{c}_b") for c in values],
     )
 
 
-def user_interactions(
-    page_users: DataFrame,
-    by: Sequence[str] = (),
-    *,
-    page: str = "page_id",
-    users_per_block: int = USERS_PER_BLOCK,
-) -> DataFrame:
-    """Every ordered pair of different users on a page, with both sides' counts and namespaces."""
-    pairs = _pairs(page_users, by, page, users_per_block)
-    # Forward and mirrored rows of one pair.
+def _pairs(page_users: DataFrame, by: Sequence[str], page: str, users_per_block: int) -> DataFrame:
+    """Each unordered pair of users on a page once, with both sides' counts."""
+    rows = page_users.select(
+        *by, page, "event_user_id", F.col("revisions_count").alias("count"), F.col("page_namespace").alias("ns")
+    )
+    return met(rows, [*by, page], ["count", "ns"], users_per_block)
+
+
+def mirrored(pairs: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Forward and mirrored rows of each pair, with `keep`."""
+
     def row(one: str, other: str) -> Column:
         return F.struct(
             F.col(f"user_{one}").alias("event_user_id"),
@@ -174,7 +175,18 @@ def user_interactions(
             F.col(f"ns_{other}").alias("page_namespace_r"),
         )
 
-    return pairs.select(*by, page, F.inline(F.array(row("a", "b"), row("b", "a"))))
+    return pairs.select(*keep, F.inline(F.array(row("a", "b"), row("b", "a"))))
+
+
+def user_interactions(
+    page_users: DataFrame,
+    by: Sequence[str] = (),
+    *,
+    page: str = "page_id",
+    users_per_block: int = USERS_PER_BLOCK,
+) -> DataFrame:
+    """Every ordered pair of different users on a page, with both sides' counts and namespaces."""
+    return mirrored(_pairs(page_users, by, page, users_per_block), [*by, page])
 
 
 def pair_counts(
@@ -269,7 +281,11 @@ def undirected_features(
     users_per_block: int = USERS_PER_BLOCK,
 ) -> DataFrame:
     """Common pages and common articles of each unordered pair that shares an article."""
-    counts = pair_counts(page_users, by, page=page, users_per_block=users_per_block)
+    return undirected_pairs(pair_counts(page_users, by, page=page, users_per_block=users_per_block), by)
+
+
+def undirected_pairs(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """`undirected_features` from pair counts."""
     return counts.filter(F.col("articles_a") > 0).select(
         *by,
         F.array("user_a", "user_b").alias("pair"),

@@ -10,13 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revtide.functions import markers as M
-from revtide.operators import article, coedit, editor, graph, model, rollup, sampling, talk, templates
+from revtide.operators import article, coedit, editor, graph, model, pairs, rollup, sampling, talk, templates
 from revtide.schemas import SAMPLE_KEY
 from revtide.session import settle
 from revtide.sources import files
 
-EDITED = "edited_page_id"
-
 
 class Graph(NamedTuple):
     vertices: DataFrame
@@ -77,11 +75,14 @@ def language_rollup(samples: DataFrame, texts: DataFrame, lexicon: Sequence[M.Ma
     return rollup.rollup_language(counts, [m.strategy for m in lexicon], SAMPLE_KEY)
 
 
-def collab_rollup(page_users: DataFrame) -> DataFrame:
-    """Roll-up of co-editing per sample, from settled page-user counts."""
-    directed = coedit.directed_features(page_users, SAMPLE_KEY, page=EDITED)
-    undirected = coedit.undirected_features(page_users, SAMPLE_KEY, page=EDITED)
-    return rollup.rollup_collab(directed, undirected)
+def sample_pairs(samples: DataFrame, revisions: DataFrame, history: DataFrame, *, period: str = "1 YEAR") -> DataFrame:
+    """Pair counts of every sample, written once: directed and undirected features are read off them."""
+    return settle(pairs.sample_pair_counts(pairs.pair_timeline(samples, revisions, history, period=period)))
+
+
+def collab_rollup(counts: DataFrame) -> DataFrame:
+    """Roll-up of co-editing per sample, from settled pair counts."""
+    return rollup.rollup_collab(pairs.directed_features(counts), coedit.undirected_pairs(counts, SAMPLE_KEY))
 
 
 def editor_graph(
@@ -93,8 +94,7 @@ def editor_graph(
     period: str = "1 YEAR",
 ) -> Graph:
     """Vertex and edge tables of all samples. Edges are written once: every later step reads them."""
-    users = settle(coedit.sample_page_users(samples, revisions, history, period=period))
-    directed = settle(coedit.directed_features(users, SAMPLE_KEY, page=EDITED))
+    directed = settle(pairs.directed_features(sample_pairs(samples, revisions, history, period=period)))
     editors = editor.editor_features(samples, revisions, history)
     vertices = settle(graph.graph_vertices(editors, directed, features))
     return Graph(vertices, graph.graph_edges(directed))
@@ -110,14 +110,13 @@ def feature_blocks(
     lexicon: Sequence[M.Marker] = M.LEXICON,
 ) -> dict[str, DataFrame]:
     """One row per sample and block of features; each block is written once."""
-    users = settle(coedit.sample_page_users(samples, revisions, history, period=period))
     blocks = {
         "article": article.article_features(samples, revisions),
         "user_article": rollup.rollup_user_article(article.user_article_features(samples, revisions)),
         "talk_volume": article.talk_volume_features(samples, revisions),
         "talk_language": language_rollup(samples, texts, lexicon),
         "editor": rollup.rollup_editor(editor.editor_features(samples, revisions, history)),
-        "collab": collab_rollup(users),
+        "collab": collab_rollup(sample_pairs(samples, revisions, history, period=period)),
     }
     return {name: settle(block) for name, block in blocks.items()}
 
@@ -150,11 +149,11 @@ def editor_documents(
     samples: DataFrame, revisions: DataFrame, history: DataFrame, *, period: str = "1 YEAR"
 ) -> dict[str, DataFrame]:
     """Per sample: arrays of editor features, of directed and of undirected co-editing features."""
-    users = settle(coedit.sample_page_users(samples, revisions, history, period=period))
+    counts = sample_pairs(samples, revisions, history, period=period)
     items = {
         "editor": editor.editor_features(samples, revisions, history),
-        "directed": coedit.directed_features(users, SAMPLE_KEY, page=EDITED),
-        "undirected": coedit.undirected_features(users, SAMPLE_KEY, page=EDITED),
+        "directed": pairs.directed_features(counts),
+        "undirected": coedit.undirected_pairs(counts, SAMPLE_KEY),
     }
     return {name: files.feature_documents(df, SAMPLE_KEY, name) for name, df in items.items()}
 

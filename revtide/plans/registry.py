@@ -12,7 +12,7 @@ from pyspark.sql.types import StructField, StructType
 from revtide import schemas
 from revtide.functions import wikitext as W
 from revtide.functions.numbers import round_doubles
-from revtide.operators import article, coedit, editor, graph, model, rollup, sampling, talk, templates, timeline
+from revtide.operators import article, coedit, editor, graph, model, pairs, rollup, sampling, talk, templates, timeline
 from revtide.plans import jobs
 from revtide.plans.oracles import DOC_FEATURES, LEXICON, VERTEX_FEATURES
 from revtide.schemas import SAMPLE_KEY
@@ -32,7 +32,6 @@ KEEP = [
     "event_user_id",
     "revision_text_bytes",
 ]
-EDITED = "edited_page_id"
 
 
 def query(fn: Query) -> Query:
@@ -320,20 +319,16 @@ def editor_page_entropy(spark, folder):
     return editor.editor_page_entropy(_named(spark, folder), ["event_user_id"])
 
 
-def _page_users(spark, folder, period="10 DAYS"):
-    rows = T.revisions(spark, folder)
-    return coedit.sample_page_users(T.samples(spark, folder), rows, rows, period=period)
-
-
 @query
 def page_user_counts(spark, folder):
-    return _page_users(spark, folder)
+    rows = T.revisions(spark, folder)
+    return coedit.sample_page_users(T.samples(spark, folder), rows, rows, period="1 YEAR")
 
 
 @query
 def user_interactions(spark, folder):
-    users = settle(_page_users(spark, folder, "3 DAYS"))
-    return coedit.user_interactions(users, SAMPLE_KEY, page=EDITED)
+    rows = T.revisions(spark, folder)
+    return pairs.sample_interactions(pairs.pair_timeline(T.samples(spark, folder), rows, rows, period="1 YEAR"))
 
 
 def _coedit_users(spark, folder):
@@ -357,8 +352,8 @@ def directed_features(spark, folder):
 
 @query
 def undirected_features(spark, folder):
-    pairs = coedit.undirected_features(_coedit_users(spark, folder))
-    return pairs.select(
+    found = coedit.undirected_features(_coedit_users(spark, folder))
+    return found.select(
         F.col("pair")[0].alias("user_a"), F.col("pair")[1].alias("user_b"), "num_common_pages", "num_common_articles"
     )
 
@@ -388,8 +383,8 @@ def rollup_editor(spark, folder):
 
 @query
 def rollup_collab(spark, folder):
-    users = settle(_page_users(spark, folder))
-    return jobs.collab_rollup(users)
+    rows = T.revisions(spark, folder)
+    return jobs.collab_rollup(jobs.sample_pairs(T.samples(spark, folder), rows, rows, period="1 YEAR"))
 
 
 @query
@@ -563,7 +558,7 @@ def experiment_report(spark, folder):
         T.revisions(spark, folder),
         T.revisions(spark, folder),
         T.talk_texts(spark, folder),
-        period="10 DAYS",
+        period="1 YEAR",
         lexicon=LEXICON,
     )
     return jobs.run_experiments(samples, blocks)
@@ -574,7 +569,7 @@ def experiment_report(spark, folder):
 
 def _graph(spark, folder):
     rows = T.revisions(spark, folder)
-    return jobs.editor_graph(settle(T.samples(spark, folder)), rows, rows, VERTEX_FEATURES, period="10 DAYS")
+    return jobs.editor_graph(settle(T.samples(spark, folder)), rows, rows, VERTEX_FEATURES, period="1 YEAR")
 
 
 @query

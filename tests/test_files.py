@@ -132,7 +132,7 @@ def test_documents_of_all_kinds(spark):
     tagged, history = testtables.samples(spark, SF), testtables.revisions(spark, SF)
     kinds = {
         "activity": jobs.activity_documents(tagged, history),
-        **jobs.editor_documents(tagged, history, history, period="10 DAYS"),
+        **jobs.editor_documents(tagged, history, history, period="1 YEAR"),
         **jobs.talk_documents(tagged, history, testtables.talk_texts(spark, SF)),
     }
     jobs.write_documents(kinds, out)
