@@ -16,6 +16,7 @@ from revtide.functions.numbers import ratio, share_entropy, weight_log
 from revtide.operators.timeline import edit_size
 from revtide.plans.runs import ROWS_PER_SLICE, running
 from revtide.schemas import SAMPLE_KEY
+from revtide.session import settle
 
 # Rows of a timeline by `kind`. At one position an echo comes first and a mark last.
 ECHO, EVENT, MARK = -1, 0, 1
@@ -25,7 +26,10 @@ ORDER = ["at", "kind", "revision_id"]
 
 
 def tag_cuts(samples: DataFrame, *, page: str = "page_id", whole_day: bool = False) -> DataFrame:
-    """Distinct (page_id, tag_date) with `upto`, the last position that counts as before the tag."""
+    """Distinct (page_id, tag_date) with `upto`, the last position that counts as before the tag.
+
+    Cuts are used several times in a plan; hand in samples that are written, not derived.
+    """
     upto = clock.micros("tag_date")
     return (
         samples.filter(F.col(page).isNotNull())
@@ -49,21 +53,6 @@ def _run(line: DataFrame, revisions: DataFrame, rows_per_slice: int | None, **ou
     return placed.withColumn("interval", F.col("marks_seen") - (F.col("kind") == MARK).cast("int"))
 
 
-def rows_upto(cuts: DataFrame, revisions: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLICE) -> DataFrame:
-    """Add the number of revisions within each cut, and the number of the interval the cut closes."""
-    marks = cuts.select("page_id", "tag_date", F.col("upto").alias("at"), F.lit(MARK).alias("kind"))
-    placed = _run(
-        _events(revisions, cuts).unionByName(marks, allowMissingColumns=True),
-        revisions,
-        rows_per_slice,
-        total={
-            "marks_seen": (F.col("kind") == MARK).cast("int"),
-            "rows_upto": (F.col("kind") == EVENT).cast("int"),
-        },
-    )
-    return placed.filter(F.col("kind") == MARK).select("page_id", "tag_date", "interval", "rows_upto")
-
-
 def _before() -> dict:
     """The previous revision of the page, whatever lies in between."""
     here = F.struct("at", "event_user_id", F.col("revision_text_bytes").alias("bytes"))
@@ -91,11 +80,16 @@ def page_state(
         ),
     )
     # An echo follows each revision by the reach of "recent": the echoes up to a revision are the
-    # revisions that are no longer recent when it is the last one.
-    events = _events(revisions, cuts, "event_user_id", "revision_text_bytes", "revision_minor_edit")
-    echoes = events.select("page_id", (F.col("at") + reach).alias("at"), F.lit(ECHO).alias("kind"))
+    # revisions that are no longer recent when it is the last one. Both come from one reading of a revision.
+    columns = ["event_user_id", "revision_text_bytes", "revision_minor_edit"]
+    events = _events(revisions, cuts, *columns)
+    nothing = [F.lit(None).cast(events.schema[c].dataType).alias(c) for c in ("revision_id", *columns)]
+    both = F.array(
+        F.struct("at", "kind", "revision_id", *columns),
+        F.struct((F.col("at") + reach).alias("at"), F.lit(ECHO).alias("kind"), *nothing),
+    )
     line = _run(
-        events.unionByName(echoes, allowMissingColumns=True).unionByName(marks, allowMissingColumns=True),
+        events.select("page_id", F.inline(both)).unionByName(marks, allowMissingColumns=True),
         revisions,
         rows_per_slice,
         prior=_before(),
@@ -189,6 +183,7 @@ def article_features(
     rows_per_slice: int | None = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Article features per sample; a sample without any revision up to its tag keeps NULLs."""
+    samples = settle(samples.select(*SAMPLE_KEY))
     state = page_state(tag_cuts(samples), revisions, recent_days=recent_days, rows_per_slice=rows_per_slice)
     n = F.col("n")
     shares = _share_columns()
@@ -220,9 +215,10 @@ def talk_volume_features(
 
     NULL features where the talk page has no revision by then.
     """
-    with_talk = samples.filter(F.col("talk_page_id").isNotNull())
-    talk_cuts = tag_cuts(with_talk, page="talk_page_id", whole_day=True)
-    state = page_state(talk_cuts, revisions, rows_per_slice=rows_per_slice)
+    with_talk = settle(samples.filter(F.col("talk_page_id").isNotNull()).select(*SAMPLE_KEY, "talk_page_id"))
+    # Articles and talk pages are cut on one line of all pages.
+    cuts = tag_cuts(with_talk, whole_day=True).unionByName(tag_cuts(with_talk, page="talk_page_id", whole_day=True)).distinct()
+    state = settle(page_state(cuts, revisions, rows_per_slice=rows_per_slice))
     talk = state.select(
         F.col("page_id").alias("talk_page_id"),
         "tag_date",
@@ -230,8 +226,7 @@ def talk_volume_features(
         ratio(F.col("size_sum"), F.col("size_n")).alias("mean_edit_size"),
         ratio(F.col("wait_sum"), F.col("n")).alias("mean_response_time"),
     )
-    articles = rows_upto(tag_cuts(with_talk, whole_day=True), revisions, rows_per_slice=rows_per_slice)
-    articles = articles.select("page_id", "tag_date", F.col("rows_upto").alias("article_revisions"))
+    articles = state.select("page_id", "tag_date", F.col("n").alias("article_revisions"))
     keyed = with_talk.select(*SAMPLE_KEY, "talk_page_id")
     joined = keyed.join(articles, ["page_id", "tag_date"], "left").join(talk, ["talk_page_id", "tag_date"], "left")
     return joined.select(
@@ -251,21 +246,25 @@ def user_article_features(
     What a revision says about the one before it (its wait, its size change) is credited to the
     earlier editor in the later revision's interval, so a cut needs no repair of its last row.
     """
+    samples = settle(samples.select(*SAMPLE_KEY))
     tags = tag_cuts(samples)
-    marks = tags.select("page_id", F.col("upto").alias("at"), F.lit(MARK).alias("kind"))
+    marks = tags.select("page_id", "tag_date", F.col("upto").alias("at"), F.lit(MARK).alias("kind"))
     columns = [
         "event_user_id",
         "revision_text_bytes",
         "revision_is_identity_reverted",
         "revision_is_identity_revert",
     ]
-    line = _run(
+    placed = _run(
         _events(revisions, tags, *columns).unionByName(marks, allowMissingColumns=True),
         revisions,
         rows_per_slice,
         prior=_before(),
-        total={"marks_seen": (F.col("kind") == MARK).cast("int")},
-    ).filter(F.col("kind") == EVENT)
+        total={"marks_seen": (F.col("kind") == MARK).cast("int"), "rows_upto": (F.col("kind") == EVENT).cast("int")},
+    )
+    placed = settle(placed)
+    cuts = placed.filter(F.col("kind") == MARK).select("page_id", "tag_date", "interval", "rows_upto")
+    line = placed.filter(F.col("kind") == EVENT)
     change = F.abs(F.col("revision_text_bytes") - F.col("before.bytes"))
     zero = F.lit(0)
     size = edit_size(F.col("revision_text_bytes"), F.col("before.bytes"))
@@ -318,7 +317,6 @@ def user_article_features(
         .filter(F.col("from_interval") <= until)
         .withColumn("interval", F.explode(F.sequence("from_interval", until)))
     )
-    cuts = rows_upto(tags, revisions, rows_per_slice=rows_per_slice)
     n = F.col("n")
     features = held.join(cuts, ["page_id", "interval"]).select(
         "page_id",

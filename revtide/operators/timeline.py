@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revtide.functions import clock
 from revtide.plans.runs import ROWS_PER_SLICE, running
+from revtide.session import settle
+
+DAYS_PER_RANGE = 366
 
 
 def edit_size(size: Column, previous: Column) -> Column:
@@ -42,7 +47,7 @@ def page_metrics(revisions: DataFrame, *, rows_per_slice: int | None = ROWS_PER_
 
 
 def edit_sizes(revisions: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SLICE) -> DataFrame:
-    """page_id, at, edit_size only: the narrow form of `page_metrics` daily activity needs."""
+    """page_id, at, edit_size and start_at, the page's first revision: what daily activity needs."""
     placed = revisions.filter(F.col("page_id").isNotNull()).select(
         "page_id", clock.micros("event_timestamp").alias("at"), "revision_id", "revision_text_bytes"
     )
@@ -51,29 +56,32 @@ def edit_sizes(revisions: DataFrame, *, rows_per_slice: int | None = ROWS_PER_SL
         ["page_id"],
         ["at", "revision_id"],
         prior={"before": F.struct("revision_text_bytes")},
+        peak={"ago": -F.col("at")},
         rows_per_slice=rows_per_slice,
     )
     size = edit_size(F.col("revision_text_bytes"), F.col("before.revision_text_bytes"))
-    return linked.select("page_id", "at", size.alias("edit_size"))
+    return linked.select("page_id", "at", size.alias("edit_size"), (-F.col("ago")).alias("start_at"))
 
 
-def daily_activity(sizes: DataFrame, starts: DataFrame) -> DataFrame:
-    """Edits and edited volume per page and day since the page's start, with empty days as 0.
+def active_days(sizes: DataFrame, keys: Sequence[str] = ("page_id",), **more: Column) -> DataFrame:
+    """Edits, edited volume and `more` aggregates per page and day since `start_at`.
 
-    `sizes` holds (page_id, at, edit_size), `starts` (page_id, start_at) with the origin of the day
-    count. Rows are reduced to active days first; the dense range is then generated from each
-    page's first and last active day.
+    Rows come dealt by slices of a page, so they are summed per day before they are shuffled.
     """
-    active = (
-        sizes.join(starts, "page_id")
-        .groupBy("page_id", clock.elapsed_days(F.col("at"), F.col("start_at")).alias("days_since_start"))
-        .agg(F.count(F.lit(1)).alias("daily_edit_count"), F.sum(F.abs("edit_size")).alias("daily_edit_vol"))
+    return sizes.groupBy(*keys, clock.elapsed_days(F.col("at"), F.col("start_at")).alias("days_since_start")).agg(
+        F.count(F.lit(1)).alias("daily_edit_count"),
+        F.sum(F.abs("edit_size")).alias("daily_edit_vol"),
+        *[value.alias(name) for name, value in more.items()],
     )
-    gap_filled = Window.partitionBy("page_id").orderBy("days_since_start")
+
+
+def fill_days(active: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:
+    """Empty days between the first and the last active day of a page, as 0. At most one row per calendar day."""
+    gap_filled = Window.partitionBy(*keys).orderBy("days_since_start")
     next_day = F.coalesce(F.lead("days_since_start").over(gap_filled), F.col("days_since_start") + 1)
     # A day row followed by a gap also emits the empty days of the gap.
     spread = active.withColumn("until", next_day).select(
-        "page_id",
+        *keys,
         F.col("days_since_start").alias("active_day"),
         "daily_edit_count",
         "daily_edit_vol",
@@ -81,26 +89,40 @@ def daily_activity(sizes: DataFrame, starts: DataFrame) -> DataFrame:
     )
     empty = F.col("days_since_start") != F.col("active_day")
     return spread.select(
-        "page_id",
+        *keys,
         "days_since_start",
         F.when(empty, 0).otherwise(F.col("daily_edit_count")).alias("daily_edit_count"),
         F.when(empty, 0).otherwise(F.coalesce("daily_edit_vol", F.lit(0))).alias("daily_edit_vol"),
     )
 
 
+def daily_activity(sizes: DataFrame) -> DataFrame:
+    """Edits and edited volume per page and day since the page's start, with empty days as 0."""
+    return fill_days(active_days(sizes))
+
+
 def page_starts(revisions: DataFrame) -> DataFrame:
     return revisions.groupBy("page_id").agg(F.min(clock.micros("event_timestamp")).alias("start_at"))
 
 
-def rolling_mean(daily: DataFrame, column: str, window: int, name: str) -> DataFrame:
+def rolling_mean(
+    daily: DataFrame, column: str, window: int, name: str, keys: Sequence[str] = ("page_id",), *, days_per_range: int = DAYS_PER_RANGE
+) -> DataFrame:
     """Mean over the last `window` days, 0 until that many days exist.
 
-    A page has one row per calendar day, so a plain window per page is bounded.
+    Days are dealt by ranges of (page, day); the last `window - 1` days of a range are copied to the ranges that
+    look back at them (a halo), so no task needs a whole page. `daily` has every day of a page.
     """
-    by_day = Window.partitionBy("page_id").orderBy("days_since_start")
-    mean = F.avg(column).over(by_day.rowsBetween(-(window - 1), 0))
-    full = F.row_number().over(by_day) >= window
-    return daily.withColumn(name, F.when(full, mean).otherwise(F.lit(0.0)))
+    own = F.floor(F.col("days_since_start") / days_per_range)
+    until = F.floor((F.col("days_since_start") + (window - 1)) / days_per_range)
+    dealt = daily.withColumn("_own", own).withColumn("_range", F.explode(F.sequence(own, until)))
+    # Ranges of a page must not meet again because the days came hashed by page.
+    dealt = dealt.repartition(*keys, "_range")
+    by_day = Window.partitionBy(*keys, "_range").orderBy("days_since_start")
+    frame = by_day.rowsBetween(-(window - 1), 0)
+    full = F.count(F.lit(1)).over(frame) == window
+    smooth = dealt.withColumn(name, F.when(full, F.avg(column).over(frame)).otherwise(F.lit(0.0)))
+    return smooth.filter(F.col("_own") == F.col("_range")).drop("_own", "_range")
 
 
 def template_transitions(
@@ -139,32 +161,39 @@ def talk_vs_article_activity(
     """Smoothed daily activity of an article and of its talk page on the article's day count.
 
     One row per (article, side, day) with the smoothed value, its log volume, and whether the
-    template was added or removed on the article that day.
+    template was added or removed on the article that day. The history is read twice: for the starts of
+    pages, and for one run that gives sizes and template changes alike.
     """
-    narrow = revisions.select("page_id", "event_timestamp", "revision_id", "revision_text_bytes")
-    starts = page_starts(revisions)
-    talk_starts = starts.join(mapping, F.col("page_id") == F.col("article_page_id")).select(
-        F.col("talk_page_id").alias("page_id"), "article_page_id", F.lit("talk").alias("side"), "start_at"
+    starts = page_starts(revisions).withColumnRenamed("page_id", "article_page_id")
+    side = F.inline(
+        F.array(
+            F.struct(F.col("article_page_id").alias("page_id"), F.lit("article").alias("side")),
+            F.struct(F.col("talk_page_id").alias("page_id"), F.lit("talk").alias("side")),
+        )
     )
-    article_starts = starts.join(
-        mapping.select("article_page_id").distinct(), F.col("page_id") == F.col("article_page_id"), "left_semi"
-    ).select("page_id", F.col("page_id").alias("article_page_id"), F.lit("article").alias("side"), "start_at")
-    both = article_starts.unionByName(talk_starts)
-    sizes = edit_sizes(
-        narrow.join(both.select("page_id").distinct(), "page_id", "left_semi"), rows_per_slice=rows_per_slice
+    sides = settle(mapping.join(starts, "article_page_id").select("article_page_id", "start_at", side).distinct())
+    keys = ["article_page_id", "side"]
+    rows = settle(
+        revisions.select(
+            "page_id", clock.micros("event_timestamp").alias("at"), "revision_id", F.col("revision_text_bytes").alias("bytes"), "has_template"
+        ).join(sides, "page_id")
     )
-    daily = daily_activity(sizes, both.select("page_id", "start_at"))
-    smooth = rolling_mean(daily, column, window, "smoothed").join(
-        both.select("page_id", "article_page_id", "side"), "page_id"
+    linked = running(
+        rows, keys, ["at", "revision_id"], prior={"before": F.struct("bytes", "has_template")}, rows_per_slice=rows_per_slice
     )
-    events = (
-        template_transitions(revisions, starts, rows_per_slice=rows_per_slice)
-        .groupBy(F.col("page_id").alias("article_page_id"), "days_since_start")
-        .agg(
-            F.max((F.col("transition") == "added").cast("int")).alias("template_added"),
-            F.max((F.col("transition") == "removed").cast("int")).alias("template_removed"),
+    change = F.when(F.col("side") == "article", F.col("has_template") - F.col("before.has_template"))
+    sizes = linked.withColumn("edit_size", edit_size(F.col("bytes"), F.col("before.bytes"))).withColumn("change", change)
+    days = settle(
+        active_days(
+            sizes,
+            keys,
+            template_added=F.max((F.col("change") == 1).cast("int")),
+            template_removed=F.max((F.col("change") == -1).cast("int")),
         )
     )
+    smooth = rolling_mean(fill_days(days, keys), column, window, "smoothed", keys)
+    flagged = (F.col("template_added") == 1) | (F.col("template_removed") == 1)
+    events = days.filter(flagged).select("article_page_id", "days_since_start", "template_added", "template_removed")
     return smooth.join(events, ["article_page_id", "days_since_start"], "left").select(
         "article_page_id",
         "side",

@@ -294,8 +294,12 @@ SELECT talk_page_id, tag_date, arg_min(revision_id, (event_timestamp, revision_i
 FROM (SELECT DISTINCT talk_page_id, tag_date FROM samples WHERE talk_page_id IS NOT NULL) s
 JOIN talk_texts t ON t.page_id = s.talk_page_id AND t.event_timestamp >= s.tag_date
 GROUP BY talk_page_id, tag_date"""
-_VIEWS["starts"] = "SELECT page_id, min(event_timestamp) start_ts FROM revisions GROUP BY page_id"
-_VIEWS["metrics"] = _metrics("revisions", "page_id")
+_VIEWS["long_revisions"] = """
+SELECT * REPLACE (event_timestamp + to_seconds(7 * ((epoch_us(event_timestamp) - epoch_us(TIMESTAMP '2024-01-01')) // 1000000)) AS event_timestamp)
+FROM revisions"""
+for _kind in ("", "long_"):
+    _VIEWS[f"{_kind}starts"] = f"SELECT page_id, min(event_timestamp) start_ts FROM {_kind}revisions GROUP BY page_id"
+    _VIEWS[f"{_kind}metrics"] = _metrics(f"{_kind}revisions", "page_id")
 
 
 def _daily(name: str, rows: str) -> None:
@@ -308,18 +312,20 @@ ON d.page_id = x.page_id AND d.day = x.day"""
 
 
 _daily("daily", "(SELECT m.*, start_ts FROM metrics m JOIN starts USING (page_id))")
+_daily("long_daily", "(SELECT m.*, start_ts FROM long_metrics m JOIN long_starts USING (page_id))")
 _daily(
     "paired_daily",
-    """(SELECT m.*, start_ts FROM metrics m JOIN (
-  SELECT article_page_id page_id, start_ts FROM mapping JOIN starts ON article_page_id = page_id
-  UNION ALL SELECT talk_page_id, start_ts FROM mapping JOIN starts ON article_page_id = page_id) USING (page_id))""",
+    """(SELECT m.*, start_ts FROM long_metrics m JOIN (
+  SELECT article_page_id page_id, start_ts FROM mapping JOIN long_starts ON article_page_id = page_id
+  UNION ALL SELECT talk_page_id, start_ts FROM mapping JOIN long_starts ON article_page_id = page_id) USING (page_id))""",
 )
-_VIEWS["transitions"] = """
+for _kind in ("", "long_"):
+    _VIEWS[f"{_kind}transitions"] = f"""
 SELECT page_id, revision_id, event_timestamp,
   CAST(floor((epoch_us(event_timestamp) - epoch_us(start_ts)) / 86400000000) AS BIGINT) days_since_start,
   CASE WHEN change = 1 THEN 'added' ELSE 'removed' END transition
 FROM (SELECT *, has_template - lag(has_template) OVER (PARTITION BY page_id ORDER BY event_timestamp, revision_id) change
-  FROM revisions) JOIN starts USING (page_id) WHERE change IN (1, -1)"""
+  FROM {_kind}revisions) JOIN {_kind}starts USING (page_id) WHERE change IN (1, -1)"""
 
 
 def _rolling(source: str, column: str, n: int) -> str:
@@ -330,7 +336,7 @@ SELECT *, CASE WHEN row_number() OVER ({w}) >= {n}
 FROM {source}"""
 
 
-_VIEWS["paired_rolling"] = _rolling("paired_daily", "daily_edit_vol", 5)
+_VIEWS["paired_rolling"] = _rolling("paired_daily", "daily_edit_vol", 60)
 
 
 def _rollup(columns, by: str, source: str, extra: str = "") -> str:
@@ -458,14 +464,14 @@ LEFT JOIN ({_rollup(['coedit_ratio', 'coedit_revisions_ratio'], K, 'k_directed')
     "row_counts": """SELECT 'revisions' AS name, count(*) n FROM revisions UNION ALL SELECT 'samples', count(*) FROM samples
 UNION ALL SELECT 'tagged', count(*) FROM tagged""",
     "page_metrics": "SELECT page_id, revision_id, time_to_respond, time_responded_to, edit_size, next_edit_size FROM metrics",
-    "rolling_activity": _rolling("daily", "daily_edit_vol", 7),
+    "rolling_activity": _rolling("long_daily", "daily_edit_vol", 60),
     "template_transitions": "SELECT * FROM transitions",
     "talk_vs_article_activity": """SELECT article_page_id, side, r.days_since_start, smoothed, ln(1 + smoothed) log_smoothed,
   coalesce(template_added, 0) template_added, coalesce(template_removed, 0) template_removed
 FROM paired_rolling r JOIN (SELECT article_page_id page_id, article_page_id, 'article' side FROM mapping
   UNION ALL SELECT talk_page_id, article_page_id, 'talk' FROM mapping) p USING (page_id)
 LEFT JOIN (SELECT page_id article_page_id, days_since_start, CAST(max(CAST(transition = 'added' AS INTEGER)) AS INTEGER) template_added,
-  CAST(max(CAST(transition = 'removed' AS INTEGER)) AS INTEGER) template_removed FROM transitions GROUP BY ALL) t
+  CAST(max(CAST(transition = 'removed' AS INTEGER)) AS INTEGER) template_removed FROM long_transitions GROUP BY ALL) t
 USING (article_page_id, days_since_start)""",
     "ordered_export": f"SELECT {_KEEP}, template FROM revisions",
     "clustered_export": f"SELECT {_KEEP} FROM revisions",

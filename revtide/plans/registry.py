@@ -270,19 +270,15 @@ def talk_volume_features(spark, folder):
     return article.talk_volume_features(T.samples(spark, folder), T.revisions(spark, folder))
 
 
-def _daily(spark, folder):
-    rows = T.revisions(spark, folder)
-    return timeline.daily_activity(timeline.edit_sizes(rows), timeline.page_starts(rows))
-
-
 @query
 def daily_activity(spark, folder):
-    return _daily(spark, folder)
+    return timeline.daily_activity(timeline.edit_sizes(T.revisions(spark, folder)))
 
 
 @query
 def rolling_activity(spark, folder):
-    return timeline.rolling_mean(_daily(spark, folder), "daily_edit_vol", 7, "smoothed")
+    daily = timeline.daily_activity(timeline.edit_sizes(T.long_revisions(spark, folder)))
+    return timeline.rolling_mean(daily, "daily_edit_vol", 60, "smoothed")
 
 
 @query
@@ -293,7 +289,7 @@ def template_transitions(spark, folder):
 
 @query
 def talk_vs_article_activity(spark, folder):
-    return timeline.talk_vs_article_activity(T.revisions(spark, folder), T.talk_mapping(spark, folder), window=5)
+    return timeline.talk_vs_article_activity(T.long_revisions(spark, folder), T.talk_mapping(spark, folder))
 
 
 # -- editors and co-editing ----------------------------------------------------------------------

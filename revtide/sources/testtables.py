@@ -61,6 +61,13 @@ def revisions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def long_revisions(spark: SparkSession, folder: str) -> DataFrame:
+    """The same edits over eight times as long a time, for windows of many days."""
+    base = _ntz("2024-01-01 00:00:00")
+    seconds = F.timestamp_diff("SECOND", base, "event_timestamp")
+    return revisions(spark, folder).withColumn("event_timestamp", F.timestamp_add("SECOND", (seconds * 7).cast("int"), "event_timestamp"))
+
+
 def samples(spark: SparkSession, folder: str) -> DataFrame:
     """First tagging of an article in each of two periods."""
     half = F.when(F.col("event_timestamp") >= _ntz("2024-01-21 00:00:00"), 2).otherwise(1)

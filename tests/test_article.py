@@ -5,6 +5,7 @@ from frames import hours, revision, revisions, rows, samples
 from pyspark.sql import functions as F
 
 from revtide.operators import article, sampling, timeline
+from revtide.plans import runs
 from revtide.sources import testtables
 
 SF = "/root/testdata/sf0.001"
@@ -127,7 +128,7 @@ def test_snapshot_gap_and_direction(spark):
 
 def test_daily_range_has_no_gaps(spark):
     history = revisions(spark, [revision(1, 0, size=5), revision(2, 1, size=9), revision(3, 24 * 4, size=2)])
-    daily = timeline.daily_activity(timeline.edit_sizes(history), timeline.page_starts(history))
+    daily = timeline.daily_activity(timeline.edit_sizes(history))
     assert rows(daily, "days_since_start", "daily_edit_count", "daily_edit_vol") == [
         (0, 2, 9), (1, 0, 0), (2, 0, 0), (3, 0, 0), (4, 1, 7),
     ]
@@ -135,6 +136,57 @@ def test_daily_range_has_no_gaps(spark):
     assert [r.s for r in smooth.orderBy("days_since_start").collect()] == pytest.approx([0, 0, 3.0, 0, 7 / 3])
 
 
+def test_halo_windows_span_ranges_of_days(spark):
+    """A page with a third of all days spans several tasks; 60-day windows reach over borders of ranges."""
+    days = [(1, d, d * d % 97) for d in range(-30, 400)] + [(p, d, d % 7 + p) for p in range(2, 9) for d in range(10 * p)]
+    daily = spark.createDataFrame(days, "page_id long, days_since_start long, v long")
+    by_page = {}
+    for page, day, value in days:
+        by_page.setdefault(page, []).append((day, value))
+    expected = {}
+    for page, own in by_page.items():
+        for i, (day, _) in enumerate(own):
+            expected[page, day] = sum(v for _, v in own[i - 59 : i + 1]) / 60 if i >= 59 else 0.0
+    for span in (16, 60, 366):
+        smooth = timeline.rolling_mean(daily, "v", 60, "s", days_per_range=span)
+        assert {(r.page_id, r.days_since_start): r.s for r in smooth.collect()} == pytest.approx(expected)
+    task = timeline.rolling_mean(daily, "v", 60, "s", days_per_range=16).filter("page_id = 1").select(F.spark_partition_id().alias("t"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert task.distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize(
+    "operator", ["article_features", "user_article_features", "talk_volume_features", "talk_vs_article_activity"]
+)
+def test_the_history_is_read_twice_at_most(spark, tmp_path, monkeypatch, operator):
+    """Counts the scans of the history in every written and in the returned plan of an operator."""
+    path = str(tmp_path / "history")
+    testtables.revisions(spark, SF).withColumn("of_history", F.lit(1)).write.parquet(path)
+
+    def fixed(df):
+        return spark.createDataFrame(df.collect(), df.schema)
+
+    reads = []
+
+    def count(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        reads.append(sum("Relation" in line and "of_history" in line for line in plan.splitlines()))
+        return df
+
+    plain = runs.settle
+    for module in (article, timeline, runs):
+        monkeypatch.setattr(module, "settle", lambda df: plain(count(df)))
+    history = spark.read.parquet(path)
+    if operator == "talk_vs_article_activity":
+        count(timeline.talk_vs_article_activity(history, fixed(testtables.talk_mapping(spark, SF))))
+    else:
+        count(getattr(article, operator)(fixed(testtables.samples(spark, SF)), history))
+    assert 0 < sum(reads) <= 2
+
+
 def test_template_transitions(spark):
     history = revisions(spark, [revision(i, 24 * i, tag=t) for i, t in enumerate([0, 1, 1, 0])])
     got = timeline.template_transitions(history, timeline.page_starts(history))

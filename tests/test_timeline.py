@@ -13,13 +13,22 @@ def test_rows_without_a_page_are_no_page(spark):
     assert timeline.edit_sizes(table).count() == 2
 
 
-def test_hot_pages_are_dealt_by_slice_wherever_rows_come_from(spark):
+def test_hot_pages_are_dealt_by_slice_wherever_rows_come_from(spark, monkeypatch):
     import __spark_entry__ as entry
 
+    plans, plain = [], timeline.settle
+
+    def watched(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df)
+
+    monkeypatch.setattr(timeline, "settle", watched)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         df = entry.queries()["talk_vs_article_activity"](spark, "/root/testdata/sf0.001")
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        assert any("page_id" in line and "_slice" in line for line in plan.splitlines() if "REPARTITION_BY_COL" in line)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        dealt = [line for plan in plans for line in plan.splitlines() if "REPARTITION_BY_COL" in line]
+        assert any("page_id" in line and "_slice" in line for line in dealt)
+        assert any("page_id" in line and "_range" in line for line in dealt)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
