@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revtide.llm import words as W
+from revtide.llm.naming import aside, restore
 from revtide.llm.tasks import map_arrow
-from revtide.session import settle
 
 SHINGLE = 5
 PERCENT = 80
@@ -133,10 +133,30 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, *, key: str = "doc_
     return every.select(F.col("_key").alias(key), item, "n_shingles", "n_shared", (F.col("n_shared") / F.col("n_shingles")).alias("containment"))
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """The rows, whole, that hold no benchmark item. Rows with a NULL key share one verdict."""
-    leaks = settle(contaminated(documents, benchmark, key=key, **options).select(F.col(key).alias("_leak")).distinct())
-    return documents.join(leaks, F.col(key).eqNullSafe(F.col("_leak")), "left_anti")
+def _keeper(index, percent: int, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.slices(batch, text):
+                keep = np.ones(part.num_rows, bool)
+                keep[[row for row, *_ in search(part.column(part.schema.get_field_index(text)), index.value, percent)]] = False
+                yield part.filter(pa.array(keep))
+
+    return run
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", item_text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows, whole, that hold no benchmark item. Every row is judged by its own text, in the scan; keys are not used."""
+    spark = documents.sparkSession
+    items = benchmark.select(F.coalesce(F.col(item_text), F.lit("")).alias("_text")).distinct()
+    rows, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("_text")), F.lit(0))).first()
+    blocks = max(1, math.ceil(rows / BLOCK_ITEMS), math.ceil(chars / BLOCK_CHARS))
+    kept, at = aside(documents)
+    for block in range(blocks):
+        # A block has about BLOCK_ITEMS distinct items; it is the stated query set, not the corpus.
+        own = items.filter(F.pmod(F.xxhash64("_text"), F.lit(blocks)) == block).toArrow()["_text"].to_pylist()
+        index = spark.sparkContext.broadcast(build(list(enumerate(own)), percent=percent))
+        kept = map_arrow(kept, _keeper(index, percent, at[text]), kept.schema)
+    return restore(kept, documents.columns)
 
 
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from revtide.llm import shards as S
 from revtide.llm import words as W
 from revtide.llm.components import connect
+from revtide.llm.naming import aside, restore
 from revtide.llm.tasks import map_arrow, per_group
 from revtide.session import settle
 
@@ -438,7 +439,8 @@ def keep_one(documents: DataFrame, *, key: str = "doc_id", **options) -> DataFra
     """The rows, whole, that name their class. Rows with one and the same key stay or go together; NULL keys stay."""
     found = classes(documents, key=key, **options)
     gone = settle(found.filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct())
-    return documents.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    rows, at = aside(documents)
+    return restore(rows.join(gone, F.col(at[key]) == F.col("_gone"), "left_anti"), documents.columns)
 
 
 def op8_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:

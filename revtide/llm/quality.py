@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from revtide.llm import words as W
+from revtide.llm.naming import aside, restore
 from revtide.llm.tasks import map_arrow
 
 MAX_TRAIN = 8192
@@ -158,6 +159,7 @@ def train(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text:
     usable = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
     chosen = usable.groupBy(key).agg(F.max(label).cast("int").alias("_label")).orderBy(F.xxhash64(key), key).limit(max_train)
     rows = documents.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(chosen), key)
+    rows = rows.groupBy(key, "_label").agg(F.min("_text").alias("_text"))  # an id that occurs in several rows counts once
     kind = dict(rows.dtypes)[key]
     found = map_arrow(rows.select(key, "_label", "_text"), _feature_rows([key, "_label"]), f"`{key}` {kind}, _label int, {FEATURES}").toArrow()
     found = found.take(pc.sort_indices(found, [(key, "ascending")])).slice(0, max_train)
@@ -174,10 +176,10 @@ def score_texts(documents: DataFrame, model: Model, *, key: str = "doc_id", text
 
 def keep_good(documents: DataFrame, model: Model, cutoff: float = CUTOFF, *, text: str = "text") -> DataFrame:
     """The rows, whole, whose score reaches the cutoff: scored in the scan, without a join."""
-    columns = documents.columns
-    rows = documents.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    schema = StructType([*documents.schema.fields, StructField("score", DoubleType())])
-    return map_arrow(rows, _scorer(model, columns), schema).filter(F.col("score") >= cutoff).select(*columns)
+    rows, at = aside(documents)
+    schema = StructType([*rows.schema.fields, StructField("score", DoubleType())])
+    scored = map_arrow(rows.withColumn("_text", F.coalesce(F.col(at[text]), F.lit(""))), _scorer(model, rows.columns), schema)
+    return restore(scored.filter(F.col("score") >= cutoff), documents.columns)
 
 
 def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:

@@ -20,12 +20,12 @@ NULL texts stay NULL; repeated rows and NULL keys stay.
 from __future__ import annotations
 
 import unicodedata
-from functools import reduce
 from itertools import count as count_from
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revtide.llm.naming import aside, restore
 from revtide.llm.native import let, upto
 from revtide.session import settle
 
@@ -234,9 +234,9 @@ def render(kind: Column, mention: Column, entity: Column, substitute: Column) ->
 
 def pseudonymise(documents: DataFrame, secret: str, *, text: str = "text", count: str | None = None) -> DataFrame:
     """All rows and columns of `documents` with mentions replaced; `count` names a column for their number."""
-    columns = documents.columns
-    body = F.col(text)
-    found = documents.select(F.sha2(body, 256).alias("_digest"), mentions_of(body).alias("_found")).filter(F.size("_found") > 0)
+    rows, at = aside(documents)
+    columns, body = rows.columns, F.col(at[text])
+    found = rows.select(F.sha2(body, 256).alias("_digest"), mentions_of(body).alias("_found")).filter(F.size("_found") > 0)
     texts = settle(found.groupBy("_digest").agg(F.first("_found").alias("_found")))
     spelled = settle(
         texts.select(F.explode("_found").alias("mention"))
@@ -253,13 +253,13 @@ def pseudonymise(documents: DataFrame, secret: str, *, text: str = "text", count
         .select("_digest", F.transform("_new", lambda x: x["_new"]).alias("_new"))
     )
     with_count = [] if count is None else [F.size("_found").cast("long").alias(count)]
-    marked = documents.withColumn("_found", F.coalesce(mentions_of(body), F.array().cast("array<string>")))
+    marked = rows.withColumn("_found", F.coalesce(mentions_of(body), F.array().cast("array<string>")))
     clean = marked.filter(F.size("_found") == 0).select(*columns, *with_count)
     pieces = F.split(body, ANY, -1)
     woven = F.array_join(F.flatten(F.zip_with(pieces, "_new", lambda p, r: F.array(p, F.coalesce(r, F.lit(""))))), "")
     touched = marked.filter(F.size("_found") > 0).withColumn("_digest", F.sha2(body, 256)).join(ready, "_digest")
-    replaced = touched.select(*[woven.alias(c) if c == text else F.col(c) for c in columns], *with_count)
-    return reduce(DataFrame.unionByName, [clean, replaced])
+    replaced = touched.select(*[woven.alias(c) if c == at[text] else F.col(c) for c in columns], *with_count)
+    return restore(clean.unionByName(replaced), documents.columns, *([] if count is None else [count]))
 
 
 SECRET = "a key of the caller's; fixed here so that test runs repeat"
