@@ -24,7 +24,6 @@ after all others; NULL ids are kept as they are; extra columns are ignored. Empt
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
