@@ -1,7 +1,9 @@
 """The operators for training text against brute force on small tables with awkward rows."""
 
 import hashlib
+import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -274,6 +276,86 @@ def test_articles_in_elements_with_unlikely_names_stay():
     assert html.main_text("<div>" + "".join(f"<p>{x}</p>" for x in lines) + noise + "</div>") == wanted
 
 
+def test_what_lies_beside_the_article_goes_whatever_its_share():
+    line = "Line {} of the {}, with some words, and more of them."
+
+    def many(what, n, first=0):
+        return [line.format(i, what) for i in range(first, n)]
+
+    def ps(lines):
+        return "".join(f"<p>{x}</p>" for x in lines)
+
+    story, said = many("story", 3), many("reader", 10)
+    whole = "\n".join(story)
+    assert html.main_text(f"<div class='post'>{ps(story)}</div><div id='comments'>{ps(said)}</div>") == whole
+    assert html.main_text(f"<article>{ps(story)}<div class=comments>{ps(said[:4])}</div></article>") == whole
+    assert html.main_text(f"<main>{ps(story)}<section class='comments'>{ps(said[:3])}</section></main>") == whole
+    remarks = "".join(f"<article class='comment'>{ps([x])}</article>" for x in said)
+    assert html.main_text(f"<article>{ps(story)}</article><div id=comments>{remarks}</div>") == whole
+    assert html.main_text(f"<div><p>Short one.</p></div><div class='cookie-notice'>{ps(said)}</div>") == "Short one."
+    tail = "<div class='b'><h2>Two</h2><p>Short tail here.</p></div>"
+    assert html.main_text(f"<div><div class='a'>{ps(story)}</div>{tail}</div>") == whole + "\nTwo\nShort tail here."
+    assert html.main_text(f"<article>{ps(story)}</article><article>{ps(['Second.'])}</article>") == whole + "\nSecond."
+    nested = "".join(f"<div><div><div>{ps([x])}</div></div></div>" for x in story)
+    assert html.main_text(f"<div>{nested}<div><a href=x>more</a></div></div>") == whole
+    assert html.main_text(f"<main>{ps(story)}<ul><li><a href=x>One</a><li><a href=y>Two</a></ul></main>") == whole
+    # Names that would hide the whole article are not believed.
+    assert html.main_text(f"<div class='page sidebar'><article>{ps(story)}</article></div><p>Loading the page, please wait.</p>") == whole
+    assert html.main_text(f"<div class='ad'><div class='social'>{ps(story)}</div></div>") == whole
+    assert html.main_text(f"<h1>Top</h1><article>{ps(story)}</article><div class='widget'>About me and my site, at some length.</div>") == "Top\n" + whole
+
+
+def test_points_and_sums_equal_a_walk_of_all_ancestors():
+    rng = random.Random(5)
+
+    def some(depth):
+        kind = rng.choice(["text", "p", "div", "a", "b", "h2", "ul", "section"])
+        if depth == 0 or kind == "text":
+            return rng.choice([" word", " two, words", " a longer text, with a comma. "])
+        inner = "".join(some(depth - 1) for _ in range(rng.randint(0, 4)))
+        return f"<ul><li>{inner}</li></ul>" if kind == "ul" else f"<{kind}>{inner}</{kind}>"
+
+    for _ in range(200):
+        nodes = html.parse("".join(some(5) for _ in range(4)))
+        found = html.blocks(nodes[0])
+        html.score(nodes, found)
+        for node in nodes:
+            size = links = points = 0
+            for owner, line, linked in found:
+                chain, above = [], owner
+                while above is not None:
+                    chain.append(above)
+                    above = above.parent
+                if node in chain:
+                    size, links = size + len(line), links + linked
+                containers = [x for x in chain if x.tag not in html.INLINE]
+                containers = containers[1:] if owner.tag in html.PARAGRAPHS else containers
+                if owner.tag not in html.HEADINGS and node in containers[: html.REACH]:
+                    distance = containers.index(node)
+                    given = (1 + line.count(",") + min(len(line) / 100, 3)) * (1 - linked / len(line))
+                    points += given / (1, 2, 6, 9, 12)[distance]
+            assert (node.size, node.links) == (size, links) and node.points == pytest.approx(points)
+
+
+def test_hostile_pages_take_linear_time():
+    deep = 100_000
+    pages = {
+        "<div>x" * deep: deep,
+        "<div class=ad>x" * deep: 1,
+        "<b>" * deep + "</i>" * deep + "x": 1,
+        "<i><div>" + "<b>" * deep + "</i>" * deep + "x": 1,
+        "<b>" * deep + "<div>x</div>" * deep: deep,
+        "\u0130<p>y</p>" + "<script>a</script>" * deep: 2,
+        "<noscript>" * deep + "x": 1,
+        "<p>" + "many words, and more. " * 250_000: 250_000,
+    }
+    for page, parts in pages.items():
+        begun = time.process_time()
+        got = html.main_text(page)
+        assert time.process_time() - begun < 2 + 2 * len(page) / 1e6
+        assert len(got) >= parts
+
+
 def test_pages_without_a_closing_bracket_end():
     plain = "if a <b then " + "it's so " * 1001
     assert html.main_text(plain) == plain.strip()
