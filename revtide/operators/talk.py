@@ -49,10 +49,11 @@ def talk_utterances(sections: DataFrame) -> DataFrame:
     )
 
 
-def utterance_details(utterances: DataFrame) -> DataFrame:
+def utterance_details(utterances: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Utterances as corpus rows: speaker, parsed time, reply depth and the utterance replied to."""
     return utterances.select(
-        *[c for c in ("page_id", "revision_id", "sec_num", "utt_ind") if c in utterances.columns],
+        *keep,
+        *[c for c in ("page_id", "revision_id", "sec_num", "utt_ind") if c in utterances.columns and c not in keep],
         F.col("utt_id").alias("id"),
         "conv_id",
         F.col("user").alias("speaker"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from revtide.functions import markers as M
 from revtide.operators import article, coedit, editor, graph, model, pairs, rollup, sampling, talk, templates
+from revtide.plans.runs import MAX_BROADCAST
 from revtide.schemas import SAMPLE_KEY
 from revtide.session import settle
 from revtide.sources import files
@@ -33,7 +34,8 @@ def export_histories(
     files.write_json(flagged.repartitionByRange("template", "page_title", "revision_id").sortWithinPartitions(
         "template", "page_title", "revision_id"), f"{out}/page_history")
     talk_rows = templates.talk_history(talk_texts, tagged)
-    files.write_json(talk_rows, f"{out}/talk_text")
+    files.write_json(talk_rows.repartitionByRange("template", "page_id", "revision_id").sortWithinPartitions(
+        "template", "page_id", "revision_id"), f"{out}/talk_text")
     files.write_json(templates.talk_activity(talk_rows), f"{out}/talk_activity")
 
 
@@ -47,31 +49,62 @@ def export_user_histories(
     files.clustered_export(rows, out, "event_user_id", "revision_id")
 
 
+def chosen_texts(chosen: DataFrame, texts: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The texts named by `chosen.revision_id`, each once. Up to MAX_BROADCAST ids, counted, go to the scan of the
+    texts, which then are not shuffled; more are joined as any other table."""
+    ids = chosen.select("revision_id").distinct()
+    ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
+    return texts.select(*columns).join(ids, "revision_id", "left_semi")
+
+
+def export_snapshots(samples: DataFrame, texts: DataFrame, out: str) -> None:
+    """The talk page as it stood nearest to each tagging, by template, clustered by (talk page, tag date)."""
+    chosen = settle(sampling.nearest_snapshot(samples, texts).select("talk_page_id", "tag_date", "revision_id"))
+    wanted = samples.select("template", "talk_page_id", "tag_date").distinct().join(chosen, ["talk_page_id", "tag_date"])
+    found = chosen_texts(chosen, texts, ["page_id", "revision_id", F.col("event_timestamp").alias("revision_timestamp"), "revision_text"])
+    rows = wanted.join(found, "revision_id")
+    order = ["template", "talk_page_id", "tag_date"]
+    files.write_json(rows.repartitionByRange(*order).sortWithinPartitions(*order), out)
+
+
+def snapshot_utterances(samples: DataFrame, texts: DataFrame, *, from_html: bool = True) -> DataFrame:
+    """The utterances of each sample's talk snapshot, with the sample key.
+
+    Snapshots are chosen once, on narrow columns; only chosen texts are read and parsed, each once.
+    Texts may hold HTML; its tags are stripped unless `from_html` is off.
+    """
+    chosen = settle(sampling.nearest_snapshot(samples, texts).select("talk_page_id", "tag_date", "revision_id"))
+    needed = chosen_texts(chosen, texts, ["revision_id", "page_id", "revision_text"])
+    utterances = talk.talk_utterances(talk.talk_sections(needed, from_html=from_html)).drop("page_id")
+    keyed = samples.select(*SAMPLE_KEY, "talk_page_id").join(chosen, ["talk_page_id", "tag_date"])
+    return keyed.join(utterances, "revision_id")
+
+
 def language_counts(
-    samples: DataFrame, texts: DataFrame, lexicon: Sequence[M.Marker] = M.LEXICON, *, from_html: bool = False
+    samples: DataFrame, texts: DataFrame, lexicon: Sequence[M.Marker] = M.LEXICON, *, from_html: bool = True
 ) -> DataFrame:
-    """Marker counts per utterance of each sample's talk snapshot.
+    """Marker counts per utterance of each sample's talk snapshot."""
+    return _counted(snapshot_utterances(samples, texts, from_html=from_html), lexicon)
 
-    Snapshots are chosen on narrow columns; only chosen texts are read and parsed, each once.
-    """
-    chosen = sampling.nearest_snapshot(samples, texts).select("talk_page_id", "tag_date", "revision_id")
-    needed = texts.select("revision_id", "page_id", "revision_text").join(
-        chosen.select("revision_id").distinct(), "revision_id", "left_semi"
-    )
-    utterances = talk.talk_utterances(talk.talk_sections(needed, from_html=from_html))
-    counts = talk.marker_counts(utterances, lexicon=lexicon).select(
+
+def _counted(utterances: DataFrame, lexicon: Sequence[M.Marker]) -> DataFrame:
+    return talk.marker_counts(utterances, lexicon=lexicon).select(
+        *SAMPLE_KEY,
+        "talk_page_id",
         "revision_id",
+        "sec_num",
+        "utt_ind",
         "conv_id",
         "utt_id",
         *[m.strategy for m in lexicon],
         F.col("indent_depth").alias("reply_depth"),
     )
-    keyed = samples.select(*SAMPLE_KEY, "talk_page_id").join(chosen, ["talk_page_id", "tag_date"])
-    return keyed.join(counts, "revision_id")
 
 
-def language_rollup(samples: DataFrame, texts: DataFrame, lexicon: Sequence[M.Marker] = M.LEXICON) -> DataFrame:
-    counts = language_counts(samples, texts, lexicon)
+def language_rollup(
+    samples: DataFrame, texts: DataFrame, lexicon: Sequence[M.Marker] = M.LEXICON, *, from_html: bool = True
+) -> DataFrame:
+    counts = language_counts(samples, texts, lexicon, from_html=from_html)
     return rollup.rollup_language(counts, [m.strategy for m in lexicon], SAMPLE_KEY)
 
 
@@ -135,52 +168,52 @@ def run_experiments(samples: DataFrame, blocks: Mapping[str, DataFrame]) -> Data
     return model.experiment_report(settle(reduce(DataFrame.unionByName, [scored(n, d) for n, d in sets.items()])))
 
 
-def activity_documents(samples: DataFrame, revisions: DataFrame) -> DataFrame:
-    """Per sample: its article features as a struct and its editors' features as an array."""
-    features = article.article_features(samples, revisions)
-    nested = features.select(
-        *SAMPLE_KEY, F.struct(*[c for c in features.columns if c not in SAMPLE_KEY]).alias("article")
-    )
-    editors = files.feature_documents(article.user_article_features(samples, revisions), SAMPLE_KEY, "user_article")
-    return _whole(nested.join(editors, SAMPLE_KEY, "left"))
+class Items(NamedTuple):
+    """One kind of feature document: its items, and what orders those of a sample."""
+
+    rows: DataFrame
+    order: Sequence[str]
+
+
+def activity_documents(samples: DataFrame, revisions: DataFrame) -> dict[str, Items]:
+    """Per sample: its article features, and its editors' features on the page."""
+    return {
+        "article": Items(article.article_features(samples, revisions), []),
+        "user_article": Items(article.user_article_features(samples, revisions), ["event_user_id"]),
+    }
 
 
 def editor_documents(
     samples: DataFrame, revisions: DataFrame, history: DataFrame, *, period: str = "1 YEAR"
-) -> dict[str, DataFrame]:
-    """Per sample: arrays of editor features, of directed and of undirected co-editing features."""
+) -> dict[str, Items]:
+    """Per sample: editor features, directed and undirected co-editing features."""
     counts = sample_pairs(samples, revisions, history, period=period)
-    items = {
-        "editor": editor.editor_features(samples, revisions, history),
-        "directed": pairs.directed_features(counts),
-        "undirected": coedit.undirected_pairs(counts, SAMPLE_KEY),
+    return {
+        "editor": Items(editor.editor_features(samples, revisions, history), ["event_user_id"]),
+        "directed": Items(pairs.directed_features(counts), ["event_user_id", "event_user_id_r"]),
+        "undirected": Items(coedit.undirected_pairs(counts, SAMPLE_KEY), ["pair"]),
     }
-    return {name: files.feature_documents(df, SAMPLE_KEY, name) for name, df in items.items()}
 
 
 def talk_documents(
     samples: DataFrame, revisions: DataFrame, texts: DataFrame, lexicon: Sequence[M.Marker] = M.LEXICON
-) -> dict[str, DataFrame]:
-    """Per sample: talk volume as a struct, and per conversation the marker counts of its utterances."""
-    volume = article.talk_volume_features(samples, revisions)
-    nested = volume.select(
-        *SAMPLE_KEY, F.struct(*[c for c in volume.columns if c not in SAMPLE_KEY]).alias("talk_volume")
-    )
-    counts = language_counts(samples, texts, lexicon).drop("talk_page_id", "revision_id")
+) -> dict[str, Items]:
+    """Per sample: talk volume, the conversation in its talk snapshot, and the marker counts of its utterances."""
+    utterances = settle(snapshot_utterances(samples, texts))
+    order = ["sec_num", "utt_ind"]
     return {
-        "talk_volume": nested,
-        "talk_language": files.feature_documents(counts, [*SAMPLE_KEY, "conv_id"], "utterances"),
+        "talk_volume": Items(article.talk_volume_features(samples, revisions), []),
+        "conversation": Items(conversation(utterances), order),
+        "talk_language": Items(_counted(utterances, lexicon).drop("talk_page_id", "revision_id"), order),
     }
 
 
-def _whole(documents: DataFrame) -> DataFrame:
-    """A sample without items is a document of one part."""
-    return documents.withColumns(
-        {"parts": F.coalesce("parts", F.lit(1)), "part": F.coalesce("part", F.lit(0))}
-    )
+def conversation(utterances: DataFrame) -> DataFrame:
+    """Utterances of snapshots as corpus rows, with the sample key."""
+    return talk.utterance_details(utterances, keep=(*SAMPLE_KEY, "talk_page_id", "sec_name"))
 
 
-def write_documents(documents: Mapping[str, DataFrame], out: str) -> None:
-    """Each kind of document below its own folder, all templates in one job per kind."""
-    for name, df in documents.items():
-        files.write_json(df, f"{out}/{name}")
+def write_documents(samples: DataFrame, documents: Mapping[str, Items], out: str) -> None:
+    """Each kind of document as a batch below its own folder, all templates in one job per kind."""
+    for name, (rows, order) in documents.items():
+        files.write_batch(samples, rows, order, f"{out}/{name}")

@@ -395,9 +395,16 @@ _FINAL = {
     "read_labels": "SELECT page_id, tag_date FROM samples",
     "partition_by_page": f"SELECT {_KEEP} FROM revisions",
     "load_all": f"SELECT {_KEEP}, template, has_template FROM revisions",
-    "feature_document": f"""SELECT {K}, 1 parts, 0 part, CAST(count(*) AS INTEGER) n_editors,
-  string_agg(CAST(event_user_id AS VARCHAR), ',' ORDER BY event_user_id) editors, CAST(sum(num_edits) AS BIGINT) n_edits
-FROM user_article GROUP BY {K}""",
+    "feature_document": "SELECT * FROM user_article",
+    "feature_manifest": f"""SELECT {K}, count(event_user_id) n_items, min(event_user_id) first_user, max(event_user_id) last_user
+FROM samples LEFT JOIN user_article USING ({K}) GROUP BY {K}""",
+    "conversation_document": """SELECT s.template, s.page_id, s.tag_date, talk_page_id, sec_name, revision_id, sec_num, utt_ind, utt_id id, conv_id, "user" speaker,
+  try_strptime(date, '%H:%M, %d %B %Y') AS time, text, indent_depth reply_depth, NULL::VARCHAR reply_to
+FROM samples s JOIN snapshots USING (talk_page_id, tag_date) JOIN utterances u USING (revision_id)""",
+    "snapshot_export": """SELECT template, talk_page_id, tag_date, revision_id, t.page_id, event_timestamp revision_timestamp, revision_text
+FROM (SELECT DISTINCT template, talk_page_id, tag_date FROM samples) s JOIN snapshots USING (talk_page_id, tag_date) JOIN talk_texts t USING (revision_id)""",
+    "talk_export": """SELECT t.*, g.template FROM talk_texts t
+JOIN (SELECT DISTINCT template, 'Talk:' || replace(page_title, '_', ' ') page_title FROM tagged) g USING (page_title)""",
     "resume_pending": "SELECT * FROM samples WHERE tag_date >= TIMESTAMP '2024-01-21'",
     "blp_pages": "SELECT DISTINCT page_id, page_namespace FROM revisions WHERE page_namespace = 0",
     "semi_by_ids": f"SELECT {_KEEP} FROM revisions SEMI JOIN samples USING (page_id)",
@@ -518,6 +525,78 @@ FROM loops l JOIN vertices v ON {_on('l', 'v')} AND v.vertex = l.src GROUP BY AL
 }
 
 
+def _logistic(source: str, key: str, features: list[str], buckets: int, steps: int = 80) -> str:
+    """Held-out scores of the penalised regression, found by damped Newton steps from zero.
+
+    Each step adds up gradient and curvature over the training rows and solves the linear system by
+    elimination, one nested query per column.
+    """
+    size = len(features) + 1
+    key_text = "concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in key.split(", ")) + ")"
+    bucket = f"('0x' || substr(md5({key_text}), 1, 6))::BIGINT % {buckets}"
+    filled = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0) f{i}" for i, c in enumerate(features))
+    stats = ", ".join(f"avg(f{i}) m{i}, coalesce(nullif(stddev_pop(f{i}), 0), 1) s{i}" for i in range(size - 1))
+    scaled = ", ".join(f"(f{i} - m{i}) / s{i}" for i in range(size - 1))
+    slope = [f"sum((p - y) * x[{i}])" + (f" + w[{i}] / 10000" if i > 1 else "") for i in range(1, size + 1)]
+    bend = [
+        [f"sum(p * (1 - p) * x[{i}] * x[{j}])" + (" + 1 / 10000" if i == j > 1 else "") for j in range(1, size + 1)]
+        for i in range(1, size + 1)
+    ]
+    system = ", ".join("[" + ", ".join([*row, slope[i]]) + "]" for i, row in enumerate(bend))
+    solved = f"""SELECT step, w, [{', '.join(slope)}] g, [{system}] a FROM (
+      SELECT step, w, x, y, 1 / (1 + exp(-list_dot_product(w, x))) p FROM fitted, train WHERE step < {steps}) GROUP BY step, w"""
+    for k in range(1, size + 1):
+        solved = f"""SELECT step, w, g, list_transform(range(1, {size + 1}), lambda i: CASE WHEN i = {k}
+      THEN list_transform(a[{k}], lambda v: v / a[{k}][{k}])
+      ELSE list_transform(range(1, {size + 2}), lambda j: a[i][j] - a[i][{k}] * a[{k}][j] / a[{k}][{k}]) END) a FROM ({solved})"""
+    return f"""WITH RECURSIVE filled AS MATERIALIZED (SELECT {key}, label, {bucket} = 0 held, {filled} FROM {source}),
+prepared AS MATERIALIZED (SELECT {key}, label, held, [1.0::DOUBLE, {scaled}] x FROM filled CROSS JOIN (SELECT {stats} FROM filled WHERE NOT held)),
+train AS MATERIALIZED (SELECT CAST(label AS DOUBLE) y, x FROM prepared WHERE NOT held),
+fitted AS (
+  SELECT 0 step, list_transform(range({size}), lambda i: 0.0::DOUBLE) w
+  UNION ALL
+  SELECT step + 1, list_transform(range(1, {size + 1}), lambda i: w[i] - d[i] / (1 + sqrt(greatest(list_dot_product(g, d), 0)))) FROM (
+    SELECT step, w, g, list_transform(a, lambda r: r[{size + 1}]) d FROM ({solved})))
+SELECT {key}, label, 1 / (1 + exp(-list_dot_product(w, x))) score, CAST(list_dot_product(w, x) > 0 AS INTEGER) prediction
+FROM prepared CROSS JOIN (SELECT w FROM fitted ORDER BY step DESC LIMIT 1) WHERE held"""
+
+
+_FINAL["logreg_scores"] = _logistic("docs", "doc_id", DOC_FEATURES, 4)
+_FINAL["graph_logreg"] = _logistic(
+    f"(SELECT r.*, s.label FROM ({_FINAL['graph_readout']}) r JOIN samples s USING ({K}))", K, [f"mean_{c}" for c in VERTEX_FEATURES], 5
+)
+
+ARTICLE_FEATURES = (
+    "edit_size time_to_respond article_age_years curr_size frac_minor_edits last_edit_size num_revisions num_editors frac_recent_revisions "
+    "frac_anon_revisions concentration_ratio recent_edit_size recent_response_time top_contributor_frac contribution_frac_entropy"
+).split()
+TALK_FEATURES = "num_revisions num_editors frac_recent_revisions top_contributor_frac mean_edit_size mean_response_time page_talk_ratio".split()
+
+
+def _experiments() -> str:
+    sides = {"article": ("article_all", ARTICLE_FEATURES), "talk": ("talk_volume", TALK_FEATURES)}
+    sets = {name: {name: side} for name, side in sides.items()} | {"combined": sides}
+    scored = []
+    for name, chosen in sets.items():
+        columns = [f"{side}_{c}" for side, (_, features) in chosen.items() for c in features]
+        picked = ", ".join(f"{side}.{c} {side}_{c}" for side, (_, features) in chosen.items() for c in features)
+        joined = " ".join(f"LEFT JOIN {view} {side} USING ({K})" for side, (view, _) in chosen.items())
+        fitted = _logistic(f"(SELECT {K}, label, {picked} FROM samples {joined})", K, columns, 4)
+        scored.append(f"SELECT '{name}' feature_set, label, score, prediction FROM ({fitted})")
+    return f"""WITH scored AS MATERIALIZED ({' UNION ALL '.join(scored)}),
+counts AS (SELECT feature_set, count(*) FILTER (WHERE label = 0 AND prediction = 0) tn, count(*) FILTER (WHERE label = 0 AND prediction = 1) fp,
+  count(*) FILTER (WHERE label = 1 AND prediction = 0) fn, count(*) FILTER (WHERE label = 1 AND prediction = 1) tp, count(*) n
+  FROM scored GROUP BY feature_set),
+area AS (SELECT feature_set, sum(pos * (below + neg / 2.0)) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) roc_auc FROM (
+  SELECT *, coalesce(sum(neg) OVER (PARTITION BY feature_set ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) below FROM (
+    SELECT feature_set, score, count(*) FILTER (WHERE label = 1) pos, count(*) FILTER (WHERE label = 0) neg FROM scored GROUP BY ALL)) GROUP BY feature_set)
+SELECT feature_set, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) f1, (tp + tn) / n accuracy, n, roc_auc, tn, fp, fn, tp
+FROM counts JOIN area USING (feature_set)"""
+
+
+_FINAL["experiment_blocks"] = _experiments()
+
+
 def _used(text: str) -> list[str]:
     """Views a text refers to, in definition order, with what they refer to in turn."""
     found: set[str] = set()
@@ -557,6 +636,10 @@ _DOUBLES = {
     "top_correlations": "score abs",
     "labelled_union": "edit_size",
     "standard_scale": "n_chars n_commas constant",
+    "feature_document": "edit_size next_edit_size time_to_respond time_responded_to frac_page_edits",
+    "experiment_blocks": "f1 accuracy roc_auc",
+    "logreg_scores": "score",
+    "graph_logreg": "score",
     "roc_auc": "roc_auc",
     "f1_accuracy": "f1 accuracy",
     "graph_vertices": " ".join(VERTEX_FEATURES),

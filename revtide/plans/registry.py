@@ -104,22 +104,52 @@ def load_all(spark, folder):
     return files.load_all(spark, path, _schema(rows, *KEEP, "has_template"))
 
 
+def _written(spark, folder, items):
+    path = scratch_path(spark, "items")
+    files.write_batch(T.samples(spark, folder), items.rows, items.order, path)
+    return path
+
+
 @query
 def feature_document(spark, folder):
-    rows = article.user_article_features(T.samples(spark, folder), T.revisions(spark, folder))
-    documents = files.feature_documents(rows, SAMPLE_KEY, "user_article")
-    users = F.transform("user_article", lambda u: u["event_user_id"].cast("string"))
-    edits = F.aggregate("user_article", F.lit(0).cast("long"), lambda total, u: total + u["num_edits"])
-    return documents.select(
-        *SAMPLE_KEY,
-        "parts",
-        "part",
-        F.size("user_article").alias("n_editors"),
-        F.array_join(users, ",").alias("editors"),
-        edits.alias("n_edits"),
+    items = jobs.activity_documents(T.samples(spark, folder), T.revisions(spark, folder))["user_article"]
+    return files.read_items(spark, _written(spark, folder, items), items.rows.schema)
+
+
+@query
+def feature_manifest(spark, folder):
+    items = jobs.activity_documents(T.samples(spark, folder), T.revisions(spark, folder))["user_article"]
+    return files.read_manifest(spark, _written(spark, folder, items)).groupBy(*SAMPLE_KEY).agg(
+        F.sum("n_items").alias("n_items"),
+        F.min("first.event_user_id").alias("first_user"),
+        F.max("last.event_user_id").alias("last_user"),
     )
 
 
+@query
+def conversation_document(spark, folder):
+    rows = jobs.conversation(jobs.snapshot_utterances(T.samples(spark, folder), T.talk_texts(spark, folder)))
+    items = jobs.Items(rows, ["sec_num", "utt_ind"])
+    return files.read_items(spark, _written(spark, folder, items), rows.schema)
+
+
+@query
+def snapshot_export(spark, folder):
+    path = scratch_path(spark, "snapshots")
+    jobs.export_snapshots(T.samples(spark, folder), T.talk_texts(spark, folder), path)
+    schema = "template string, talk_page_id long, tag_date timestamp_ntz, revision_id long, page_id long, revision_timestamp timestamp_ntz, revision_text string"
+    return spark.read.schema(schema).option("timestampNTZFormat", files.STAMP_FORMAT).json(path)
+
+
+@query
+def talk_export(spark, folder):
+    path = scratch_path(spark, "talk")
+    rows = templates.talk_history(T.talk_texts(spark, folder), templates.revisions_with_template(T.wikitext(spark, folder)))
+    order = ["template", "page_id", "revision_id"]
+    files.write_json(rows.repartitionByRange(*order).sortWithinPartitions(*order), path)
+    return files.load_all(spark, path, _schema(rows, *[c for c in rows.columns if c != "template"]))
+
+
 @query
 def resume_pending(spark, folder):
     samples = T.samples(spark, folder)
@@ -560,6 +590,13 @@ def experiment_report(spark, folder):
     return jobs.run_experiments(samples, blocks)
 
 
+@query
+def experiment_blocks(spark, folder):
+    samples, history = settle(T.samples(spark, folder)), T.revisions(spark, folder)
+    blocks = {"article": article.article_features(samples, history), "talk": article.talk_volume_features(samples, history)}
+    return jobs.run_experiments(samples, {name: settle(block) for name, block in blocks.items()})
+
+
 # -- graphs --------------------------------------------------------------------------------------
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -11,7 +13,6 @@ from pyspark.sql.types import StringType, StructField, StructType
 from revtide import schemas
 from revtide.functions import wikitext as W
 
-ELEMENTS_PER_DOCUMENT = 10_000
 STAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
@@ -79,21 +80,6 @@ def read_page_list(spark: SparkSession, path: str) -> DataFrame:
     return read_csv_columns(spark, path, schemas.PAGE_LIST)
 
 
-def _parts(df: DataFrame, key: Sequence[str], limit: int, *salt: str) -> DataFrame:
-    """Add `parts` and `part`: groups above `limit` rows are split by hash, all others have one part.
-
-    The list of split groups has at most rows / limit rows.
-    """
-    large = (
-        df.groupBy(*key)
-        .agg(F.ceil(F.count(F.lit(1)) / F.lit(limit)).cast("int").alias("parts"))
-        .filter(F.col("parts") > 1)
-    )
-    parts = F.coalesce("parts", F.lit(1))
-    joined = df.join(F.broadcast(large), list(key), "left")
-    return joined.withColumn("part", F.pmod(F.xxhash64(*salt), parts).cast("int")).withColumn("parts", parts)
-
-
 def partition_by_page(df: DataFrame, path: str, *, key: str = "page_id", order: Sequence[str] = ("event_timestamp", "revision_id")) -> None:
     """One folder per page. Tasks take ranges of (page, time, revision), so a large page spans several files in order."""
     ranged = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
@@ -121,19 +107,56 @@ def resume_pending(samples: DataFrame, done: DataFrame, key: Sequence[str] = sch
     return samples.join(done.select(*key).distinct(), list(key), "left_anti")
 
 
-def feature_documents(
-    items: DataFrame, key: Sequence[str], name: str, *, per_document: int = ELEMENTS_PER_DOCUMENT
-) -> DataFrame:
-    """Nested items per sample as documents (key, part, parts, <name>: array of struct).
+def write_batch(
+    samples: DataFrame, items: DataFrame, order: Sequence[str], path: str, key: Sequence[str] = schemas.SAMPLE_KEY
+) -> str:
+    """Write the items of some samples as one batch and enter it in the manifest; the batch's name.
 
-    A sample with more than `per_document` items is written as several parts, so no row and no task
-    holds an unbounded list; readers concatenate parts. Usual samples have one part. The list of
-    larger samples has at most rows / per_document rows.
+    Items are JSON lines, one each, sorted by (key, order) over ranges of both: a sample of any size is written in
+    the same form, a large one spans files. The batch has a fresh folder. Its manifest is written last and
+    names, per sample and file, the first and last item and their number; a sample without items has one row without
+    a file. A job that dies before leaves a folder that no manifest names: readers pass over it, and its
+    samples are still pending.
     """
-    fields = [c for c in items.columns if c not in key]
-    item = F.struct(*fields)
-    placed = _parts(items, key, per_document, *fields).select(*key, "parts", "part", item.alias("item"))
-    return placed.groupBy(*key, "parts", "part").agg(F.array_sort(F.collect_list("item")).alias(name))
+    batch = f"b{uuid.uuid4().hex}"
+    folder = f"{path}/items/batch={batch}"
+    ranged = items.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order)
+    ranged.write.option("timestampNTZFormat", STAMP_FORMAT).json(folder)
+    written = items.sparkSession.read.schema(items.schema).option("timestampNTZFormat", STAMP_FORMAT).json(folder)
+    place = F.struct(*(order or key))
+    spans = written.groupBy(*key, F.col("_metadata.file_name").alias("file")).agg(
+        F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n_items")
+    )
+    manifest = samples.select(*key).distinct().join(spans, list(key), "left")
+    manifest.withColumn("n_items", F.coalesce("n_items", F.lit(0).cast("long"))).write.parquet(f"{path}/manifest/batch={batch}")
+    return batch
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    """(key, file, first, last, n_items, batch) of all whole batches; None before the first one."""
+    try:
+        return spark.read.parquet(f"{path}/manifest")
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def read_items(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The items of all whole batches. The names of batches, one per run, select the folders to read."""
+    manifest = read_manifest(spark, path)
+    names = [] if manifest is None else manifest.agg(F.collect_set("batch")).first()[0]
+    if not names:
+        return spark.createDataFrame([], schema)
+    typed = StructType([*schema.fields, StructField("batch", StringType(), True)])
+    rows = spark.read.schema(typed).option("timestampNTZFormat", STAMP_FORMAT).json(f"{path}/items")
+    return rows.filter(F.col("batch").isin(*names)).drop("batch")
+
+
+def pending_samples(samples: DataFrame, path: str, key: Sequence[str] = schemas.SAMPLE_KEY) -> DataFrame:
+    """Samples that are in no whole batch below `path` yet."""
+    manifest = read_manifest(samples.sparkSession, path)
+    return samples if manifest is None else resume_pending(samples, manifest, key)
 
 
 def normalise_titles(df: DataFrame) -> DataFrame:

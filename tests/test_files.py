@@ -41,12 +41,38 @@ def test_csv_columns_are_found_by_name(spark, tmp_path):
     assert rows(files.read_talk_mapping(spark, str(tmp_path / "map")), "talk_page_id", "article_page_id") == [(3, 2)]
 
 
-def test_documents_are_whole_in_parts(spark):
-    items = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 1)], "k string, v int")
-    got = files.feature_documents(items, ["k"], "items", per_document=8).collect()
-    assert sorted(i.v for r in got if r.k == "a" for i in r["items"]) == list(range(50))
-    assert {r.parts for r in got if r.k == "a"} == {7} and {r.parts for r in got if r.k == "b"} == {1}
-    assert len({r.part for r in got if r.k == "a"}) > 3
+def test_items_of_any_size_are_written_alike(spark):
+    path = scratch_path(spark, "items")
+    items = spark.createDataFrame([("a", i, 0.1 * i, None) for i in range(500)] + [("b", 1, None, "x\ny")], "k string, v int, d double, t string")
+    known = spark.createDataFrame([("a",), ("b",), ("none",)], "k string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files.write_batch(known, items, ["v"], path, ["k"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert rows(files.read_items(spark, path, items.schema), *items.columns) == rows(items, *items.columns)
+    manifest = files.read_manifest(spark, path).collect()
+    spans = sorted((r["first"].v, r["last"].v, r.n_items) for r in manifest if r.k == "a")
+    assert len(spans) > 1 and sum(n for *_, n in spans) == 500
+    assert all(low[1] < high[0] and low[1] - low[0] + 1 == low[2] for low, high in zip(spans, spans[1:]))
+    assert [(r.file, r.n_items) for r in manifest if r.k == "none"] == [(None, 0)]
+
+
+def test_a_batch_counts_once_its_manifest_is_written(spark):
+    path = scratch_path(spark, "batches")
+    known = spark.createDataFrame([("a",), ("b",), ("none",)], "k string")
+    items = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, v int")
+    assert files.read_items(spark, path, items.schema).count() == 0
+    assert files.pending_samples(known, path, ["k"]).count() == 3
+    # A job that dies between data and manifest.
+    items.write.json(f"{path}/items/batch=blost")
+    assert files.read_items(spark, path, items.schema).count() == 0 and files.pending_samples(known, path, ["k"]).count() == 3
+    files.write_batch(known.filter("k <> 'b'"), items.filter("k = 'a'"), ["v"], path, ["k"])
+    pending = files.pending_samples(known, path, ["k"])
+    assert rows(pending, "k") == [("b",)]
+    files.write_batch(pending, items.join(pending, "k"), ["v"], path, ["k"])
+    assert rows(files.read_items(spark, path, items.schema), "k", "v") == [("a", 1), ("a", 2), ("b", 3)]
+    assert files.pending_samples(known, path, ["k"]).count() == 0
 
 
 def test_large_pages_span_several_files(spark):
@@ -118,30 +144,24 @@ def test_user_history_export(spark):
     assert {"num_groups", "num_blocks_historical", "num_curr_blocks"} <= set(back.columns)
 
 
-def test_feature_document_holds_every_editor(spark):
-    history = revisions(spark, [revision(i, i, user=1 + i % 3) for i in range(6)])
-    from revtide.operators.article import user_article_features
-
-    rows_ = user_article_features(samples(spark, [("advert", 2, 100, None, 1)]), history)
-    doc = files.feature_documents(rows_, SAMPLE_KEY, "user_article").first()
-    assert [u.event_user_id for u in doc.user_article] == [1, 2, 3] and doc.parts == 1
-
-
 def test_documents_of_all_kinds(spark):
     out = scratch_path(spark, "documents")
     tagged, history = testtables.samples(spark, SF), testtables.revisions(spark, SF)
     kinds = {
-        "activity": jobs.activity_documents(tagged, history),
+        **jobs.activity_documents(tagged, history),
         **jobs.editor_documents(tagged, history, history, period="1 YEAR"),
         **jobs.talk_documents(tagged, history, testtables.talk_texts(spark, SF)),
     }
-    jobs.write_documents(kinds, out)
-    activity = spark.read.json(f"{out}/activity")
-    assert activity.count() == tagged.count() and set(activity.select("template").distinct().toPandas().template) <= set(schemas.TEMPLATES)
-    one = activity.filter("article.num_editors > 3").first()
-    assert len(one.user_article) == one.article.num_editors
-    editors = spark.read.json(f"{out}/editor").first()
-    assert {"num_groups", "event_user_id"} <= set(editors.editor[0].asDict())
-    assert spark.read.json(f"{out}/directed").count() > 0 and spark.read.json(f"{out}/undirected").count() > 0
-    assert spark.read.json(f"{out}/talk_volume").count() == tagged.filter("talk_page_id is not null").count()
-    assert "reply_depth" in spark.read.json(f"{out}/talk_language").first().utterances[0].asDict()
+    jobs.write_documents(tagged, kinds, out)
+    read = {name: files.read_items(spark, f"{out}/{name}", kind.rows.schema) for name, kind in kinds.items()}
+    assert set(read) == {"article", "user_article", "editor", "directed", "undirected", "talk_volume", "conversation", "talk_language"}
+    assert read["article"].count() == tagged.count() and set(read["article"].toPandas().template) <= set(schemas.TEMPLATES)
+    editors = read["user_article"].groupBy(*SAMPLE_KEY).count()
+    assert editors.join(read["article"], SAMPLE_KEY).filter("count <> num_editors").count() == 0
+    assert read["directed"].count() > 0 and read["undirected"].count() > 0
+    assert read["talk_volume"].count() == tagged.filter("talk_page_id is not null").count()
+    assert read["conversation"].count() == read["talk_language"].count() > 0
+    for name in read:
+        held = files.read_manifest(spark, f"{out}/{name}")
+        assert held.select(*SAMPLE_KEY).distinct().count() == tagged.count()
+        assert held.agg(F.sum("n_items")).first()[0] == read[name].count()

@@ -72,7 +72,28 @@ def test_logistic_regression_against_newton(spark):
     for _ in range(30):
         p = 1 / (1 + np.exp(-design @ w))
         w -= np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + penalty, design.T @ (p - y) + penalty @ w)
-    assert [*fitted.coefficients, fitted.intercept] == pytest.approx(w, abs=1e-4)
+    assert fitted.weights == pytest.approx([w[2], w[0], w[1]], abs=1e-9) and fitted.decrement < 1e-8
+    gradient, curvature = model.loss_terms(frame, ["a", "b"], fitted.weights)
+    assert np.abs(gradient).max() < 1e-8 and np.linalg.eigvalsh(curvature).min() > 0
+    scored = model.score_logistic(fitted, frame, ["a", "b"])
+    assert all((r.score > 0.5) == (r.prediction == 1) for r in scored.collect())
+
+
+def test_rows_of_one_class_get_their_class(spark):
+    frame = spark.createDataFrame([(1.0, 1), (2.0, 1)], "a double, label int")
+    scored = model.score_logistic(model.fit_logistic(frame, ["a"]), frame, ["a"])
+    assert rows(scored, "score", "prediction") == [(1.0, 1), (1.0, 1)]
+
+
+def test_auc_per_group_over_many_slices(spark):
+    rng = np.random.default_rng(9)
+    groups = {}
+    for g in range(10):
+        scores = rng.integers(0, 60, 80) * 10.0 ** (g - 5)
+        groups[None if g == 3 else g] = [(float(s), int(y)) for s, y in zip(scores, rng.integers(0, 2, 80))]
+    frame = spark.createDataFrame([(g, s, y) for g, pairs in groups.items() for s, y in pairs], "g int, score double, label int")
+    got = {r.g: r.roc_auc for r in model.roc_auc(frame, ["g"], rows_per_slice=4).collect()}
+    assert got == pytest.approx({g: _auc(pairs) for g, pairs in groups.items()})
 
 
 def test_metrics(spark):
