@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,16 +16,10 @@ SIGNATURE = r"(?d)(\[\[User:.+\]\])(.*\(UTC\))?(?:$|\n)"
 USER_LINK = r"(?d)\[\[(User:.*?)\|"
 STAMP = r"(?U)(\d\d:\d\d,\s\d+\s[A-z]*\s\d{4})"
 
-# Entities decoded by html_to_text; the ampersand comes last.
-ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", "\u00a0"),
-    ("&amp;", "&"),
-]
+# Character references by name, as the standard library lists them, and the code points 128 to 159 as browsers read them.
+NAMED = {name[:-1]: plain for name, plain in html5.items() if name.endswith(";")}
+WINDOWS = [bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160)]
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
 
 
 def stripped(text: Column) -> Column:
@@ -56,13 +52,39 @@ def talk_title(title: Column) -> Column:
 
 
 def html_to_text(html: Column) -> Column:
-    """Visible text: scripts, styles, comments and tags removed, common entities decoded."""
+    """Visible text: scripts, styles, comments and tags removed, character references decoded."""
     text = html
     for block in (r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>", r"(?s)<!--.*?-->", r"<[^>]*>"):
         text = F.regexp_replace(text, block, "")
-    for entity, plain in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return text
+    return F.when(F.contains(text, F.lit("&")), decode_references(text)).otherwise(text)
+
+
+def decode_references(text: Column) -> Column:
+    """Character references that end in a semicolon, decoded once: by name, decimal or hexadecimal number.
+
+    Unknown names stay as written; numbers that are no character become U+FFFD. The text is cut at each
+    ampersand and every piece looked up on its own, so what decoding yields is not decoded again.
+    """
+    named = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
+    windows = F.array(*[F.lit(c) for c in WINDOWS])
+
+    def plain(piece: Column) -> Column:
+        name = F.regexp_extract(piece, REFERENCE, 1)
+        digits = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.substring(name, 3, 6)).otherwise(
+            F.conv(F.substring(name, 2, 7), 10, 16)
+        )
+        point = F.conv(digits, 16, 10).cast("int")
+        character = (
+            F.when(point.between(128, 159), F.get(windows, point - 128))
+            .when((point < 1) | (point > 0x10FFFF) | point.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+            .otherwise(F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32"))
+        )
+        found = F.when(F.startswith(name, F.lit("#")), character).otherwise(F.try_element_at(named, name))
+        rest = F.substr(piece, F.length(name) + 2)
+        return F.when((name == "") | found.isNull(), F.concat(F.lit("&"), piece)).otherwise(F.concat(found, rest))
+
+    pieces = F.split(text, "&", -1)
+    return F.array_join(F.transform(pieces, lambda piece, i: F.when(i == 0, piece).otherwise(plain(piece))), "")
 
 
 def sections(text: Column) -> Column:

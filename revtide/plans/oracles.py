@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html.entities import html5
 
 from revtide.functions import markers as M
 from revtide.operators.rollup import EDITOR, USER_ARTICLE
@@ -387,6 +388,10 @@ _KEEP = (
     "page_id, page_title, page_namespace, revision_id, event_timestamp, event_user_id, revision_text_bytes"
 )
 
+_REFERENCES = ", ".join(
+    "('{}', '{}')".format(name[:-1], plain.replace("'", "''")) for name, plain in sorted(html5.items()) if name.endswith(";")
+)
+
 _FINAL = {
     "scan_revisions": f"SELECT {_KEEP} FROM revisions WHERE revision_id % 2 = 0",
     "parquet_roundtrip": "SELECT * FROM tagged",
@@ -491,10 +496,19 @@ UNION ALL SELECT {K}, num_revisions, edit_size, 1 FROM article_all JOIN samples
   lambda x: lower(x) IN ('weasel', 'peacock', 'autobiography', 'advert', 'fanpov'))), '|') AS templates FROM templates
 WHERE len(list_filter(names, lambda x: lower(x) IN ('weasel', 'peacock', 'autobiography', 'advert', 'fanpov'))) > 0""",
     "revisions_with_template": "SELECT * FROM tagged",
-    "html_to_text": r"""SELECT page_id, replace(replace(replace(replace(replace(replace(replace(
-  regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', '', 'g'),
-    '(?is)<style\b.*?</style\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g'),
-  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', chr(160)), '&amp;', '&') AS text FROM pages""",
+    "html_to_text": rf"""SELECT page_id, string_agg(CASE WHEN i = 1 THEN piece
+    WHEN plain IS NOT NULL THEN plain || substr(piece, length(ref) + 2)
+    WHEN point IS NULL THEN '&' || piece
+    WHEN point < 1 OR point > 1114111 OR point BETWEEN 55296 AND 57343 THEN chr(65533) || substr(piece, length(ref) + 2)
+    ELSE chr(CAST(point AS INTEGER)) || substr(piece, length(ref) + 2) END, '' ORDER BY i) AS text
+FROM (SELECT *, CASE WHEN ref[1] <> '#' THEN NULL WHEN lower(ref[2]) = 'x' THEN TRY_CAST('0x' || substr(ref, 3) AS BIGINT)
+    ELSE TRY_CAST(substr(ref, 2) AS BIGINT) END point
+  FROM (SELECT *, CASE WHEN contains(piece, ';') THEN split_part(piece, ';', 1) END ref
+    FROM (SELECT page_id, i, pieces[i] piece FROM (SELECT *, unnest(range(1, len(pieces) + 1)) i FROM (
+      SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', '', 'g'),
+        '(?is)<style\b.*?</style\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g'), '&') pieces FROM pages WHERE html IS NOT NULL))))
+  LEFT JOIN (VALUES {_REFERENCES}) AS names(ref, plain) USING (ref))
+GROUP BY page_id UNION ALL SELECT page_id, NULL FROM pages WHERE html IS NULL""",
     "talk_sections": "SELECT * FROM sections",
     "talk_utterances": "SELECT * FROM utterances",
     "utterance_details": r"""SELECT page_id, revision_id, sec_num, utt_ind, utt_id id, conv_id, "user" speaker,

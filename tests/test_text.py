@@ -1,4 +1,5 @@
 import re
+from html import unescape
 
 import pytest
 from frames import rows
@@ -71,6 +72,16 @@ def test_signature_split_like_re(spark, text):
     assert [r.text for r in got] == expected
 
 
+def test_character_references_equal_the_standard_library(spark):
+    texts = [
+        "it&#8217;s &mdash; caf&eacute;&nbsp;&#x1F600;&#X41;", "&amp;lt; &amp;amp; &#146;&#129; &#0;&#xD800;&#1114112;", "a & b &bogus; &; &#; &#x; ;&&lt;",
+        "&NotEqualTilde;&CounterClockwiseContourIntegral;", "plain", "", "&lt;" * 500, "&#38;gt;",
+    ]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string")
+    got = dict(rows(frame.select("i", W.html_to_text(F.col("t")).alias("t")), "i", "t"))
+    assert got == {**{i: unescape(t) for i, t in enumerate(texts)}, len(texts): None}
+
+
 def test_html_to_text(spark):
     page = "<html><head><style>p{}</style><script>var a='<p>';</script></head><!-- c --><p>a &amp;lt; b&nbsp;&lt;c&gt;</p></html>"
     frame = spark.createDataFrame([(1, page)], "page_id long, html string")
