@@ -1,7 +1,7 @@
 import json
 from datetime import datetime
 
-from frames import revision, revisions, rows, samples
+from frames import revisions, rows, samples
 from pyspark.sql import functions as F
 
 from revtide import schemas
