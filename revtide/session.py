@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +58,18 @@ def settle(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def settle_bucketed(df: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
+    """`settle`, with the rows hashed by `keys` into `buckets` files.
+
+    Plans know how the files are hashed, so joins and sums by these keys read them without a shuffle. The
+    table's name goes at once; its files stay in the shared folder like those of any settled stage.
+    """
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    hashed = df.repartition(buckets, *keys).write.format("parquet").option("path", scratch_path(spark, "bucketed"))
+    hashed.bucketBy(buckets, *keys).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table

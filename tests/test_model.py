@@ -1,4 +1,6 @@
 import math
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -141,3 +143,52 @@ def test_message_sums(spark):
     v, e = _graph(spark)
     got = rows(graph.graph_message_sum(v, e, ["x"], ["k"]), "vertex", "sum_x", "sum_coedit_ratio")
     assert got == [(1, 3.0, 0.25), (2, 3.0, 0.5), (3, 5.0, 0.5)]
+
+
+@pytest.mark.parametrize("limits", [{"edges_per_bucket": 1}, {"max_broadcast": 0}])
+def test_graphs_of_any_size_and_number_give_the_same_sums(spark, limits):
+    rng = np.random.default_rng(3)
+    # One graph holds most edges, and one vertex a third of them; two graphs share their vertex ids.
+    ends = [("big", 0, int(v)) for v in range(60)] + [("big", int(a), int(b)) for a, b in rng.integers(0, 60, (100, 2))]
+    ends = sorted({*ends, ("small", 0, 1), ("small", 1, 0), ("unknown", 5, 6)})
+    edges = spark.createDataFrame([(k, a, b, 0.5, 0.25) for k, a, b in ends], "k string, src long, dst long, coedit_ratio double, coedit_revisions_ratio double")
+    points = {("big", v): float(v) for v in range(60)} | {("small", 0): 1.0, ("small", 1): 3.0, ("alone", 7): 2.0}
+    vertices = spark.createDataFrame([(*p, x) for p, x in points.items()], "k string, vertex long, x double")
+    tables = graph.graph_tables(vertices, edges, ["x"], ["k"], **limits)
+
+    known_ends = [(k, a, b) for k, a, b in ends if k != "unknown"]
+    out, into = Counter((k, a) for k, a, _ in known_ends), Counter((k, b) for k, _, b in known_ends)
+    state = points
+    for _ in range(2):
+        sums = dict.fromkeys(points, 0.0)
+        for k, a, b in known_ends:
+            sums[k, b] += state[k, a] / math.sqrt(out[k, a] * into[k, b])
+        state = sums
+    got = {(r.k, r.vertex): r.x for r in graph.propagate(tables, ["x"], 2).collect()}
+    assert got == pytest.approx(state)
+    sums = {(r.k, r.vertex): (r.sum_x, r.sum_coedit_ratio) for r in graph.message_sum(tables, ["x"]).collect()}
+    assert sums == {
+        (k, v): (sum(points[k, a] for j, a, b in known_ends if (j, b) == (k, v)), n / 2) for (k, v), n in into.items()
+    }
+
+
+def test_edges_are_not_shuffled_once_written(spark):
+    v, e = _graph(spark)
+    tables = graph.graph_tables(v, e, ["x"], ["k"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rounds = graph.propagate(tables, ["x"], 3)
+        plan = rounds._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # One exchange a round, of sums already combined; the fourth sends the numbers of the graphs.
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 3 and "Sort " not in plan
+    for found in re.finditer(r"Exchange hashpartitioning.*\n.*", plan):
+        assert "partial_sum" in found.group()
+
+
+def test_empty_graphs(spark):
+    vertices = spark.createDataFrame([], "k string, vertex long, x double")
+    edges = spark.createDataFrame([], "k string, src long, dst long, coedit_ratio double, coedit_revisions_ratio double")
+    assert graph.graph_propagate(vertices, edges, ["x"], 2, ["k"]).count() == 0
+    assert graph.graph_message_sum(vertices, edges, ["x"], ["k"]).count() == 0
