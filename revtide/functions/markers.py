@@ -51,6 +51,28 @@ def word_table(positive: Sequence[str] = (), negative: Sequence[str] = ()) -> li
     return [Marker(name, tuple(words), "any") for name, words in pairs if words]
 
 
+def phrase_rows(lexicon: Sequence[Marker]) -> list[tuple[str, str, str, int]]:
+    """A lexicon as rows of a phrase table: strategy, phrase, position, rank within the strategy."""
+    return [(m.strategy, phrase, m.position, rank) for m in lexicon for rank, phrase in enumerate(m.words)]
+
+
+def word_list(text: Column) -> Column:
+    """The lower-cased words of a text, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def greedy_count(hits: Column) -> Column:
+    """Phrases that do not overlap, from the left; of those that begin together the one listed first.
+
+    `hits` holds structs of place, rank and number of words.
+    """
+    step = lambda state, hit: F.when(
+        hit["at"] >= state["free"], F.struct((state["n"] + 1).alias("n"), (hit["at"] + hit["length"]).alias("free"))
+    ).otherwise(state)
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("free"))
+    return F.aggregate(F.array_sort(hits), start, step)["n"]
+
+
 def spaced_words(text: Column) -> Column:
     """Lower-cased words with a blank on each side of every word, so neighbours never share one."""
     return F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "  "), F.lit(" "))

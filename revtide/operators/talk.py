@@ -1,7 +1,7 @@
 """Talk texts: sections, utterances, speakers and marker counts.
 
 Everything happens row by row in native expressions, so a text is read whole, in place, and no
-grouping is needed before the roll-up.
+grouping is needed before the roll-up. Only counts by a table of phrases group the words they found.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from revtide.functions import markers as M
 from revtide.functions import wikitext as W
+from revtide.plans.runs import MAX_BROADCAST, lookup
+from revtide.session import settle
 
 
 def html_to_text(pages: DataFrame, column: str = "html") -> DataFrame:
@@ -76,6 +78,75 @@ def marker_counts(
     return words.select(*texts.columns, *[M.marker_count(F.col("_words"), m) for m in lexicon])
 
 
+def phrase_counts(
+    texts: DataFrame,
+    keys: Sequence[str],
+    phrases: DataFrame,
+    column: str = "text",
+    *,
+    max_broadcast: int = MAX_BROADCAST,
+) -> DataFrame:
+    """(keys, strategy, n) of the strategies that occur in a text, from a table of phrases of any length.
+
+    phrases    strategy, phrase, position (any, start or inner, see `Marker`), rank among the strategy's phrases
+    keys       identify a text
+
+    Every text is cut into words once; a word finds the phrases that begin with it, so the work does not grow
+    with the number of phrases. Up to `max_broadcast` phrases, counted, are broadcast; with more, a frequent word
+    is dealt over copies of its phrases. Counts equal those of `marker_counts`. Phrases without a word and texts
+    that are NULL match nothing; a phrase listed twice counts once.
+    """
+    cut = phrases.select("strategy", "position", "rank", M.word_list(F.col("phrase")).alias("_phrase"))
+    table = settle(
+        cut.filter(F.size("_phrase") > 0)
+        .groupBy("strategy", "position", "_phrase")
+        .agg(F.min("rank").alias("_rank"))
+        .select(
+            "strategy",
+            "position",
+            F.col("_phrase")[0].alias("_word0"),
+            F.expr("slice(_phrase, 2, size(_phrase))").alias("_rest"),
+            F.size("_phrase").alias("_length"),
+            "_rank",
+        )
+    )
+    # Phrases of one word need no order: their hits are counted before the shuffle.
+    lengths = settle(table.groupBy("strategy", "position").agg((F.max("_length") > 1).alias("_long")))
+    table = table.join(lengths, ["strategy", "position"])
+    size, longest = table.agg(F.count(F.lit(1)), F.coalesce(F.max("_length"), F.lit(1))).first()
+
+    words = texts.select(*keys, M.word_list(F.col(column)).alias("_words"))
+    shifted = [F.expr(f"slice(_words, {i + 1}, size(_words))").alias(f"_word{i}") for i in range(longest)]
+    places = words.select(*keys, *shifted).select(
+        *keys, F.posexplode(F.arrays_zip(*[f"_word{i}" for i in range(longest)])).alias("_at", "_here")
+    )
+    places = places.select(*keys, "_at", "_here.*").withColumn(
+        "_next", F.array(*[F.col(f"_word{i}") for i in range(1, longest)]).cast("array<string>")
+    )
+    found = lookup(places, table, ["_word0"], "_at", size <= max_broadcast)
+    found = found.filter(F.expr("slice(_next, 1, _length - 1) = _rest"))
+    hit = F.struct(F.col("_at").alias("at"), F.col("_rank").alias("rank"), F.col("_length").alias("length"))
+    summed = found.groupBy(*keys, "strategy", "position").agg(
+        F.count_if(~F.col("_long")).cast("int").alias("_single"),
+        F.collect_list(F.when(F.col("_long"), hit)).alias("_hits"),
+        F.max((F.col("_at") == 0).cast("int")).alias("_leading"),
+    )
+    anywhere = F.col("_single") + M.greedy_count(F.col("_hits"))
+    counted = (
+        F.when(F.col("position") == "start", F.col("_leading"))
+        .when(F.col("position") == "inner", anywhere - F.col("_leading"))
+        .otherwise(anywhere)
+    )
+    return summed.select(*keys, "strategy", counted.alias("n")).filter("n > 0")
+
+
+def phrase_columns(texts: DataFrame, keys: Sequence[str], counts: DataFrame, strategies: Sequence[str]) -> DataFrame:
+    """Keys of all texts with one column per strategy, 0 where it does not occur."""
+    column = lambda s: F.sum(F.when(F.col("strategy") == s, F.col("n"))).cast("int").alias(s)
+    wide = counts.groupBy(*keys).agg(*[column(s) for s in strategies])
+    return texts.select(*keys).join(wide, list(keys), "left").na.fill(0, list(strategies))
+
+
 def comment_utterances(revisions: DataFrame) -> DataFrame:
     """Edit comments as utterances; anonymous editors speak as 'none'."""
     return revisions.select(

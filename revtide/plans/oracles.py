@@ -266,12 +266,12 @@ FROM (
 LEXICON = [*M.LEXICON, *M.word_table(("good", "great", "helpful"), ("bad", "wrong", "poor"))]
 
 
-def _marker_columns(words: str) -> str:
+def _marker_columns(words: str, lexicon: list[M.Marker] = LEXICON) -> str:
     def count(marker: M.Marker, start: bool) -> str:
         return f"len(regexp_extract_all({words}, '{M.pattern(marker, start=start)}'))"
 
     columns = []
-    for marker in LEXICON:
+    for marker in lexicon:
         value = {
             "any": count(marker, False),
             "start": count(marker, True),
@@ -517,6 +517,14 @@ GROUP BY page_id UNION ALL SELECT page_id, NULL FROM pages WHERE html IS NULL"""
     "politeness_markers": "SELECT * FROM markers",
     "comment_politeness": f"""SELECT page_id, revision_id, usr AS "user", {_marker_columns('words')}
 FROM (SELECT page_id, revision_id, coalesce(CAST(event_user_id AS VARCHAR), 'none') usr, {_words("coalesce(event_comment, '')")} words FROM revisions)""",
+    "word_list_counts": f"""SELECT doc_id, {_marker_columns('words', M.LEXICON)}, coalesce(positive, 0) positive, coalesce(negative, 0) negative
+FROM (SELECT doc_id, {_words("coalesce(text, '')")} words FROM documents) LEFT JOIN (
+  SELECT doc_id, CAST(count(*) FILTER (WHERE kind = 1) AS INTEGER) positive, CAST(count(*) FILTER (WHERE kind = 0) AS INTEGER) negative
+  FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) word FROM documents) JOIN (
+    SELECT word, min(quality) kind FROM (
+      SELECT quality, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) word FROM documents JOIN labels USING (doc_id))
+    GROUP BY word HAVING min(quality) = max(quality)) USING (word)
+  GROUP BY doc_id) USING (doc_id)""",
     "train_test_split": f"SELECT doc_id, label, {_BUCKET} = 0 is_test FROM docs",
     "standard_scale": """SELECT doc_id, is_test, (n_chars - m1) / s1 n_chars, (n_commas - m2) / s2 n_commas, constant - m3 AS constant
 FROM (SELECT *, """ + _BUCKET + """ = 0 is_test FROM docs) CROSS JOIN (

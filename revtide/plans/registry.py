@@ -12,6 +12,7 @@ from pyspark.sql.types import StructField, StructType
 from revtide import schemas
 from revtide.functions import wikitext as W
 from revtide.functions.numbers import round_doubles
+from revtide.functions import markers as M
 from revtide.operators import article, coedit, editor, graph, model, pairs, rollup, sampling, talk, templates, timeline
 from revtide.plans import jobs
 from revtide.plans.oracles import DOC_FEATURES, LEXICON, VERTEX_FEATURES
@@ -525,6 +526,25 @@ def comment_politeness(spark, folder):
     return talk.marker_counts(talk.comment_utterances(T.revisions(spark, folder)), lexicon=LEXICON).drop("text")
 
 
+@query
+def word_list_counts(spark, folder):
+    """Markers in all documents by a phrase table: the lexicon, and as word lists the words that only texts
+    labelled as good, or only those labelled as bad, hold."""
+    docs = T.table(spark, folder, "documents").select("doc_id", "text")
+    labels = T.table(spark, folder, "labels").select("doc_id", "quality")
+    words = docs.join(labels, "doc_id").select("quality", F.explode(M.word_list(F.col("text"))).alias("phrase"))
+    kinds = words.groupBy("phrase").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).filter("low = high")
+    lists = kinds.select(
+        F.when(F.col("low") == 1, "positive").otherwise("negative").alias("strategy"),
+        "phrase",
+        F.lit("any").alias("position"),
+        F.lit(0).alias("rank"),
+    )
+    phrases = lists.union(spark.createDataFrame(M.phrase_rows(M.LEXICON), lists.schema))
+    counts = talk.phrase_counts(docs, ["doc_id"], phrases)
+    return talk.phrase_columns(docs, ["doc_id"], counts, [*[m.strategy for m in M.LEXICON], "positive", "negative"])
+
+
 # -- models --------------------------------------------------------------------------------------
 
 

@@ -27,6 +27,7 @@ ROWS_PER_SLICE = 500_000
 LARGE = 4
 SAMPLES = 64
 MAX_BROADCAST = 500_000
+SALTS = 16
 
 
 def slice_cuts(df: DataFrame, keys: Sequence[str], position: str, rows_per_slice: int) -> DataFrame:
@@ -74,6 +75,19 @@ def _join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, small:
     return left.join(F.broadcast(renamed) if small else renamed, same, how).drop(*[f"_right_{name}" for name in on])
 
 
+def lookup(df: DataFrame, table: DataFrame, on: Sequence[str], deal: str, small: bool) -> DataFrame:
+    """Inner join with a table that has one or few rows per key, broadcast where `small`, as counted.
+
+    Otherwise the rows of a key are dealt by the column `deal` over SALTS copies of its entry, as one key may
+    hold a third of all rows.
+    """
+    if small:
+        return df.join(F.broadcast(table), list(on))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(deal), F.lit(SALTS)))
+    salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    return salted.join(table.withColumn("_salt", F.explode(salts)), [*on, "_salt"]).drop("_salt")
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],

@@ -1,3 +1,4 @@
+import random
 import re
 from html import unescape
 
@@ -99,6 +100,41 @@ def test_marker_counts(spark):
     assert got[1].direct_question == 1 and sum(got[2][1:]) == 0
 
 
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_phrase_table_counts_like_the_patterns(spark, limit):
+    own = [
+        M.Marker("overlap", ("a b", "b", "a b c", "b a"), "any"), M.Marker("long", ("a b c", "a b", "a"), "inner"),
+        M.Marker("led", ("a b", "c"), "start"), *M.word_table([f"p{i}" for i in range(5000)], [f"n{i}" for i in range(5000)]),
+    ]
+    lexicon = [*M.LEXICON, *own]
+    dice = random.Random(5)
+    stock = ["a", "b", "c", "p7", "N4999", "by", "the", "way", "Please", "could", "you", "in", "fact", "é", "x"]
+    texts = ["", None, "...", "a b c a b", "p5000 n5000", "by the way " * 3, "A" + " b" * 4000, *[
+        dice.choice(["", "(", "- "]) + dice.choice([" ", ", ", "!? "]).join(dice.choices(stock, k=dice.randint(1, 30))) for _ in range(200)
+    ]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    phrases = spark.createDataFrame([*M.phrase_rows(lexicon), ("led", "C", "start", 9), ("led", "?!", "start", 10)], "strategy string, phrase string, position string, rank int")
+    counts = talk.phrase_counts(frame, ["i"], phrases, max_broadcast=limit)
+    names = [m.strategy for m in lexicon]
+    got = rows(talk.phrase_columns(frame, ["i"], counts, names), "i", *names)
+    plain = talk.marker_counts(frame.fillna(""), lexicon=[m for m in lexicon if len(m.words) < 100])
+    expected = {r.i: r.asDict() for r in plain.collect()}
+    for i, *found in got:
+        words = re.findall(r"\w+", (texts[i] or "").lower())
+        lists = {"positive": sum(w[0] == "p" and w[1:].isdigit() and int(w[1:]) < 5000 for w in words),
+                 "negative": sum(w[0] == "n" and w[1:].isdigit() and int(w[1:]) < 5000 for w in words)}
+        assert dict(zip(names, found)) == {n: (expected[i] | lists)[n] for n in names}
+    assert len(got) == len(texts) and sum(sum(r[1:]) for r in got) > 500
+
+
+def test_phrase_table_without_phrases_or_texts(spark):
+    frame = spark.createDataFrame([(1, "hi")], "i int, text string")
+    phrases = spark.createDataFrame([], "strategy string, phrase string, position string, rank int")
+    assert rows(talk.phrase_columns(frame, ["i"], talk.phrase_counts(frame, ["i"], phrases), ["s"]), "i", "s") == [(1, 0)]
+    some = spark.createDataFrame([("s", "hi", "any", 0)], phrases.schema)
+    assert talk.phrase_counts(frame.limit(0), ["i"], some).count() == 0
+
+
 def test_words_are_not_matched_inside_words(spark):
     frame = spark.createDataFrame([("éi hithere thankséé",)], "text string")
     assert sum(talk.marker_counts(frame).first()[1:]) == 0
