@@ -139,8 +139,8 @@ def encode_decode(documents: DataFrame, tokenizer_file: str, *, key: str = "doc_
     ship(spark)
     with open(tokenizer_file, encoding="utf-8") as file:
         definition = spark.sparkContext.broadcast(file.read())
-    buckets = S.parts_of(documents)
-    dealt = S.deal(documents, key, text, S.shard_count(documents, ROWS_PER_SHARD))
+    shards, buckets = S.sizes_of(documents, text, ROWS_PER_SHARD)
+    dealt = S.deal(documents, key, text, shards)
     asked = per_group(dealt, "shard", _asker(buckets), ASKED)
     answered = per_group(asked, "bucket", _encoder(definition), ANSWERED)
     kind = dict(documents.dtypes)[key]

@@ -345,11 +345,11 @@ def remove_repeats(documents: DataFrame, *, key: str = "doc_id", text: str = "te
     """(key, n_words, n_removed, kept): every row with its text less the windows seen in smaller ids."""
     spark = documents.sparkSession
     ship(spark)
-    groups = S.parts_of(documents)
+    shards, groups = S.sizes_of(documents, text)
     heavy = spark.sparkContext.broadcast(frequent_prefixes(documents, text, depth, groups))
     kind = dict(documents.dtypes)[key]
     arrow_kind = documents.select(key).limit(0).toArrow().schema.field(0).type
-    dealt = S.deal(documents, key, text, S.shard_count(documents))
+    dealt = S.deal(documents, key, text, shards)
     asked = per_group(dealt, "shard", _anchor_asker(depth, groups), ROW)
     shared = per_group(asked, "to", _anchor_counter, ROW)
     sent = per_pair(dealt, "shard", shared, "to", _suffix_sender(depth, groups, heavy), ROW)

@@ -9,7 +9,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from revtide.llm import bpe, contamination, html, jaccard, quality, rules, secrets, substrings, surrogates, urls
+from revtide.llm import bpe, contamination, html, jaccard, quality, rules, secrets, shards, substrings, surrogates, urls
 from revtide.llm.components import connect
 from revtide.session import scratch_path
 
@@ -177,6 +177,33 @@ def test_windows_of_smaller_ids_are_removed(docs, none):
     assert substrings.remove_repeats(none).count() == 0
 
 
+def test_shards_and_groups_follow_the_text_and_hot_keys_are_spread(spark, docs, none, monkeypatch):
+    monkeypatch.setattr(shards, "BYTES_PER_GROUP", 20_000)
+    monkeypatch.setattr(shards, "BYTES_PER_ROW", 10)
+    letters = sum(len(t.encode()) for _, t in keyed(docs))
+    assert shards.sizes_of(docs, "text") == (-(-letters // 40_000), -(-letters // 20_000))
+    assert shards.sizes_of(none, "text") == (4, 4)
+    # A third of all rows without id, a third with one id, in many shards and groups.
+    words = [" ".join(f"v{(i * 7 + j) % 90}" for j in range(40)) for i in range(90)]
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i, t) for i, t in enumerate(words)]
+    hot = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = shards.deal(hot, "doc_id", "text", 30).select("shard").distinct().count()
+    assert dealt > 20
+    windows = [[tuple(t.split()[i : i + 13]) for i in range(28)] for t in words]
+    first = {}
+    for (key, _), found in zip(rows, windows):
+        for w in found if key is not None else []:
+            first[w] = min(first.get(w, key), key)
+    expected = []
+    for (key, text), found in zip(rows, windows):
+        gone = {i + k for i, w in enumerate(found) if key is not None and first[w] < key for k in range(13)}
+        expected.append((key, 40, len(gone), " ".join(x for i, x in enumerate(text.split()) if i not in gone)))
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in substrings.remove_repeats(hot).collect()]
+    assert Counter(got) == Counter(expected) and any(n for _, _, n, _ in got)
+    ids = Counter((r["doc_id"], r["decoded"]) for r in bpe.encode_decode(hot, bpe.tokenizer_path()).collect())
+    assert len(ids) == len(set(rows)) and sum(ids.values()) == 90
+
+
 @pytest.mark.parametrize("shingle, percent", [(4, 85), (5, 80)])
 def test_jaccard_classes(docs, none, shingle, percent):
     sets = {}
