@@ -63,3 +63,15 @@ def test_without_samples(spark, history):
     frame = revisions(spark, history)
     found = pairs.sample_users(samples(spark, TAGS).limit(0), frame, frame)
     assert pairs.counted_pairs(found).count() == 0
+
+
+def test_tasks_of_a_pair_join_follow_the_number_of_pairs(spark):
+    users = spark.range(200).selectExpr("id % 2 as page_id", "id as event_user_id", "1L as revisions_count", "0 as page_namespace")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        formed = coedit.met(users, ["page_id"], ["revisions_count"], 25, pairs_per_task=500)  # 2 x 4,950 pairs
+        assert formed.rdd.getNumPartitions() == 20 and formed.count() == 9_900
+        assert coedit.pair_counts(users, users_per_block=25).count() == 9_900
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert coedit.met(users.limit(0), ["page_id"], ["revisions_count"], 25).count() == 0
