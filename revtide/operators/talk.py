@@ -16,6 +16,9 @@ from revtide.functions import wikitext as W
 from revtide.plans.runs import MAX_BROADCAST, lookup
 from revtide.session import settle
 
+SLOT_BITS = 19
+SLOTS = 2**SLOT_BITS  # words of the bitmap that tells which words may begin a phrase
+
 
 def html_to_text(pages: DataFrame, column: str = "html") -> DataFrame:
     return pages.withColumn("text", W.html_to_text(F.col(column))).drop(column)
@@ -92,8 +95,9 @@ def phrase_counts(
     keys       identify a text
 
     Every text is cut into words once; a word finds the phrases that begin with it, so the work does not grow
-    with the number of phrases. Up to `max_broadcast` phrases, counted, are broadcast; with more, a frequent word
-    is dealt over copies of its phrases. Counts equal those of `marker_counts`. Phrases without a word and texts
+    with the number of phrases. Up to `max_broadcast` phrases, counted, are broadcast. With more, phrases of
+    strategies that hold single words only are looked up apart, as their words travel alone; words that begin no phrase are
+    left out by a bitmap of SLOTS words before the shuffle, and a frequent word is dealt over copies of its phrases. Counts equal those of `marker_counts`. Phrases without a word and texts
     that are NULL match nothing; a phrase listed twice counts once.
     """
     cut = phrases.select("strategy", "position", "rank", M.word_list(F.col("phrase")).alias("_phrase"))
@@ -113,25 +117,34 @@ def phrase_counts(
     # Phrases of one word need no order: their hits are counted before the shuffle.
     lengths = settle(table.groupBy("strategy", "position").agg((F.max("_length") > 1).alias("_long")))
     table = table.join(lengths, ["strategy", "position"])
-    size, longest = table.agg(F.count(F.lit(1)), F.coalesce(F.max("_length"), F.lit(1))).first()
-
     words = texts.select(*keys, M.word_list(F.col(column)).alias("_words"))
+    if table.count() <= max_broadcast:
+        return _looked_up(words, keys, table, max_broadcast)
+    single, longer = [settle(table.filter(F.col("_long") == long)) for long in (False, True)]
+    return _looked_up(words, keys, single, max_broadcast).unionByName(_looked_up(words, keys, longer, max_broadcast))
+
+
+def _looked_up(words: DataFrame, keys: Sequence[str], table: DataFrame, max_broadcast: int) -> DataFrame:
+    """(keys, strategy, n) from the words of each text and phrases by their first word."""
+    size, longest = table.agg(F.count(F.lit(1)), F.coalesce(F.max("_length"), F.lit(1))).first()
     shifted = [F.expr(f"slice(_words, {i + 1}, size(_words))").alias(f"_word{i}") for i in range(longest)]
     places = words.select(*keys, *shifted).select(
         *keys, F.posexplode(F.arrays_zip(*[f"_word{i}" for i in range(longest)])).alias("_at", "_here")
     )
-    places = places.select(*keys, "_at", "_here.*").withColumn(
-        "_next", F.array(*[F.col(f"_word{i}") for i in range(1, longest)]).cast("array<string>")
-    )
+    places = places.select(*keys, "_at", "_here.*")
+    if size > max_broadcast:
+        places = _beginning(places, table)
+    following = F.array(*[F.col(f"_word{i}") for i in range(1, longest)]).cast("array<string>")
     found = lookup(places, table, ["_word0"], "_at", size <= max_broadcast)
-    found = found.filter(F.expr("slice(_next, 1, _length - 1) = _rest"))
+    found = found.withColumn("_next", following).filter(F.expr("slice(_next, 1, _length - 1) = _rest"))
     hit = F.struct(F.col("_at").alias("at"), F.col("_rank").alias("rank"), F.col("_length").alias("length"))
+    hits = [F.collect_list(F.when(F.col("_long"), hit)).alias("_hits")] if longest > 1 else []
     summed = found.groupBy(*keys, "strategy", "position").agg(
         F.count_if(~F.col("_long")).cast("int").alias("_single"),
-        F.collect_list(F.when(F.col("_long"), hit)).alias("_hits"),
         F.max((F.col("_at") == 0).cast("int")).alias("_leading"),
+        *hits,
     )
-    anywhere = F.col("_single") + M.greedy_count(F.col("_hits"))
+    anywhere = F.col("_single") + M.greedy_count(F.col("_hits")) if hits else F.col("_single")
     counted = (
         F.when(F.col("position") == "start", F.col("_leading"))
         .when(F.col("position") == "inner", anywhere - F.col("_leading"))
@@ -140,6 +153,19 @@ def phrase_counts(
     return summed.select(*keys, "strategy", counted.alias("n")).filter("n > 0")
 
 
+def _beginning(places: DataFrame, table: DataFrame) -> DataFrame:
+    """Places whose word may begin a phrase, by a bitmap of a fixed number of words, which is broadcast.
+
+    A word that begins one is never lost; how many others stay depends on how full the bitmap is.
+    """
+    place = F.xxhash64("_word0")
+    slot, bit = F.pmod(place, F.lit(SLOTS)), F.pmod(F.shiftright(place, SLOT_BITS), F.lit(64)).cast("int")
+    one = F.expr("shiftleft(1L, _bit)")
+    filled = table.select(slot.alias("_slot"), bit.alias("_bit")).groupBy("_slot").agg(F.bit_or(one).alias("_filled"))
+    marked = places.withColumns({"_slot": slot, "_bit": bit}).join(F.broadcast(filled), "_slot")
+    return marked.filter(F.col("_filled").bitwiseAND(one) != 0).drop("_slot", "_bit", "_filled")
+
+
 def phrase_columns(texts: DataFrame, keys: Sequence[str], counts: DataFrame, strategies: Sequence[str]) -> DataFrame:
     """Keys of all texts with one column per strategy, 0 where it does not occur."""
     column = lambda s: F.sum(F.when(F.col("strategy") == s, F.col("n"))).cast("int").alias(s)

@@ -4,10 +4,11 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from frames import revision, revisions, rows, samples
 from test_pairs import COUNTS, TAGS
 
-from revtide.operators import coedit, pairs, rollup
+from revtide.operators import coedit, pairs, rollup, talk
 from revtide.plans import jobs
 from revtide.schemas import SAMPLE_KEY
 
@@ -75,3 +76,15 @@ def test_tasks_of_a_pair_join_follow_the_number_of_pairs(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert coedit.met(users.limit(0), ["page_id"], ["revisions_count"], 25).count() == 0
+
+
+def test_only_words_that_may_begin_a_phrase_are_shuffled(spark):
+    texts = spark.createDataFrame([(i, "a word " * 50 + f"rare{i} in fact rare{i}, in  part") for i in range(40)], "i int, text string")
+    listed = [("few", f"rare{i}", "any", 0) for i in range(20)] + [("lead", "a", "start", 0), ("long", "in fact", "any", 0), ("long", "part", "any", 1)]
+    phrases = spark.createDataFrame(listed, "strategy string, phrase string, position string, rank int")
+    counts = [talk.phrase_counts(texts, ["i"], phrases, max_broadcast=limit) for limit in (0, 100)]
+    assert rows(counts[0], "i", "strategy", "n") == rows(counts[1], "i", "strategy", "n")
+    assert rows(counts[0].filter("i = 3"), "strategy", "n") == [("few", 2), ("lead", 1), ("long", 2)]
+    places = texts.select("i", F.posexplode(F.split("text", r"[\s,]+")).alias("_at", "_word0"))
+    kept = talk._beginning(places, phrases.filter("strategy = 'few'").select(F.col("phrase").alias("_word0")))
+    assert kept.filter("i < 20").count() == 40 and kept.count() < 60
