@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from frames import revision, revisions, rows, samples
 from test_pairs import COUNTS, TAGS
 
-from revtide.operators import coedit, pairs, rollup, talk
+from revtide.operators import coedit, graph, pairs, rollup, talk
 from revtide.plans import jobs
 from revtide.schemas import SAMPLE_KEY
 
@@ -88,3 +88,17 @@ def test_only_words_that_may_begin_a_phrase_are_shuffled(spark):
     places = texts.select("i", F.posexplode(F.split("text", r"[\s,]+")).alias("_at", "_word0"))
     kept = talk._beginning(places, phrases.filter("strategy = 'few'").select(F.col("phrase").alias("_word0")))
     assert kept.filter("i < 20").count() == 40 and kept.count() < 60
+
+
+def test_edges_with_a_known_bound_are_read_once(spark):
+    vertices = spark.createDataFrame([("g", v, 1.0) for v in range(4)], "k string, vertex long, x double")
+    read = spark.sparkContext.accumulator(0)
+
+    def row(a):
+        read.add(1)
+        return ("g", a, (a + 1) % 4, 0.5, 0.25)
+
+    lines = spark.sparkContext.parallelize(range(4), 2).map(row)
+    edges = spark.createDataFrame(lines, "k string, src long, dst long, coedit_ratio double, coedit_revisions_ratio double")
+    got = graph.graph_propagate(vertices, edges, ["x"], 2, ["k"], size=4)
+    assert rows(got, "vertex", "x") == [(v, 1.0) for v in range(4)] and read.value == 4
