@@ -2,14 +2,16 @@
 
 import itertools
 import random
-from collections import defaultdict
+import re
+from collections import Counter, defaultdict
 from datetime import timedelta
 
 import pytest
-from frames import revision, revisions, rows, samples
+from frames import hours, revision, revisions, rows, samples
 from pyspark.sql import functions as F
 
 from revtide.operators import coedit, pairs
+from revtide.plans.registry import QUERIES
 from revtide.schemas import SAMPLE_KEY
 
 COUNTS = [*SAMPLE_KEY, "user_a", "user_b", "num_common_pages", "articles_a", "articles_b", "revisions_a", "revisions_b"]
@@ -95,3 +97,55 @@ def test_without_samples_or_pairs(spark, history):
     frame = revisions(spark, history)
     assert pairs.sample_pair_counts(pairs.pair_timeline(samples(spark, [("advert", 80, 5, 81, 1)]), frame, frame)).count() == 0
     assert pairs.sample_pair_counts(pairs.pair_timeline(samples(spark, TAGS).limit(0), frame, frame)).count() == 0
+
+
+INTERACTIONS = [*SAMPLE_KEY, "edited_page_id", "event_user_id", "revisions_count", "page_namespace", "event_user_id_r", "revisions_count_r", "page_namespace_r"]
+
+
+@pytest.mark.parametrize("period, block", [("1 YEAR", 1000), ("4 DAYS", 2)])
+def test_interactions_of_page_users_equal_those_of_the_timeline(spark, history, period, block):
+    unnumbered = [revision(None, at, user=8, page=page) for at in (20, 90) for page in (2, 4)]
+    frame, tagged = revisions(spark, history + unnumbered), samples(spark, TAGS)
+    expected = pairs.sample_interactions(pairs.pair_timeline(tagged, frame, frame, period=period, users_per_block=block))
+    users = coedit.sample_page_users(tagged, frame, frame, period=period).filter("revisions_count > 0")
+    got = coedit.user_interactions(users, SAMPLE_KEY, page="edited_page_id", users_per_block=block, pairs_per_task=5)
+    assert got.dtypes == expected.dtypes
+    assert rows(got, *INTERACTIONS) == rows(expected, *INTERACTIONS)
+
+
+def test_repeated_users_of_a_page_keep_all_their_pairs(spark):
+    held = [(2, 1, 3, 0), (2, 1, 3, 0), (2, 4, 1, None), (2, 5, 2, 0), (3, 1, 1, 1), (None, 1, 1, 0), (None, 4, 1, 0)]
+    users = spark.createDataFrame(held, "page_id long, event_user_id long, revisions_count long, page_namespace int")
+    named = [h for h in held if h[0] is not None]
+    expected = [(*a, *b[1:]) for a, b in itertools.permutations(named, 2) if a[0] == b[0] and a[1] != b[1]]
+    for block in (1, 1000):
+        got = coedit.user_interactions(users, users_per_block=block)
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, expected))
+
+
+def test_registered_interactions_leave_as_they_are_joined(spark, tmp_path):
+    """One page, two tags: pairs are not looked up again, mirrored or dealt anew once they are formed."""
+    kinds = ["click"] * 20 + ["signup"] + ["click"] * 20 + ["signup"]
+    events = [(i, hours(200 + 10 * i), i % 13, kind, 1.0, '{"k": 4}') for i, kind in enumerate(kinds)]
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(events, schema).write.parquet(str(tmp_path / "events.parquet"))
+    found = QUERIES["user_interactions"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange|Generate|Window|Aggregate", plan[: re.search(r"\w+Join", plan).start()])
+    expected = []
+    for tag in (20, 41):
+        upto = Counter(e[2] for e in events[: tag + 1] if e[2] % 10)
+        expected += [(hours(200 + 10 * tag), a, upto[a], b, upto[b]) for a, b in itertools.permutations(upto, 2)]
+    assert rows(found, "tag_date", "event_user_id", "revisions_count", "event_user_id_r", "revisions_count_r") == sorted(expected)
+    users = coedit.sample_page_users(*[samples(spark, TAGS).limit(0), *[revisions(spark, [])] * 2])
+    assert coedit.user_interactions(users, SAMPLE_KEY, page="edited_page_id").count() == 0
+
+
+def test_tasks_of_interactions_follow_the_number_of_pairs(spark):
+    users = spark.range(200).selectExpr("id % 2 as page_id", "id as event_user_id", "1L as revisions_count", "0 as page_namespace")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        formed = coedit.user_interactions(users, users_per_block=25, pairs_per_task=500)  # 2 x 4,950 pairs, both ways
+        assert formed.rdd.getNumPartitions() == 20 and formed.count() == 19_800
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
