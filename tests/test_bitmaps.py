@@ -102,3 +102,23 @@ def test_edges_with_a_known_bound_are_read_once(spark):
     edges = spark.createDataFrame(lines, "k string, src long, dst long, coedit_ratio double, coedit_revisions_ratio double")
     got = graph.graph_propagate(vertices, edges, ["x"], 2, ["k"], size=4)
     assert rows(got, "vertex", "x") == [(v, 1.0) for v in range(4)] and read.value == 4
+
+
+@pytest.mark.parametrize("crowded, block", [(1, 500), (10**6, 2), (3, 3)])
+def test_moments_of_cells_make_the_roll_up_of_their_pairs(spark, history, monkeypatch, crowded, block):
+    """A cell returns one row whatever the number of its pairs, in parts of any size."""
+    monkeypatch.setattr(pairs, "CROWDED", crowded)
+    frame, tagged = revisions(spark, history), samples(spark, TAGS)
+    found = pairs.sample_users(tagged, frame, frame)
+    once = [F.col("num_common_pages"), F.col("articles_a").alias("num_common_articles")]
+    directed = pairs.directed_pairs(pairs.counted_pairs(found), once)
+    columns = ["num_common_pages", "num_common_articles", "coedit_ratio", "coedit_revisions_ratio"]
+    directed = directed.withColumns({c: F.when(F.col("first"), F.col(c)) for c in columns[:2]})
+    expected = rollup.rollup(directed, columns, ["sample"], F.count_if("first").alias("undirected"))
+    moments = pairs.pair_moments(found, users_per_block=block, pairs_per_task=5).cache()
+    got = rollup.merged(moments, columns, ["sample"], F.sum("undirected").alias("undirected")).filter("undirected > 0")
+    assert got.columns == expected.columns
+    for a, b in zip(rows(got, *got.columns), rows(expected.filter("undirected > 0"), *got.columns), strict=True):
+        assert [x is None for x in a] == [x is None for x in b]
+        assert [x or 0 for x in a] == pytest.approx([x or 0 for x in b], abs=1e-12)
+    assert (moments.groupBy("sample").count().agg(F.max("count")).first()[0] == 1) == (block == 500)
