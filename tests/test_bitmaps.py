@@ -3,12 +3,13 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from frames import revision, revisions, rows, samples
 from test_pairs import COUNTS, TAGS
 
-from revtide.operators import coedit, graph, pairs, rollup, talk
+from revtide.operators import cells, coedit, graph, pairs, rollup, talk
 from revtide.plans import jobs
 from revtide.schemas import SAMPLE_KEY
 
@@ -122,3 +123,14 @@ def test_moments_of_cells_make_the_roll_up_of_their_pairs(spark, history, monkey
         assert [x is None for x in a] == [x is None for x in b]
         assert [x or 0 for x in a] == pytest.approx([x or 0 for x in b], abs=1e-12)
     assert (moments.groupBy("sample").count().agg(F.max("count")).first()[0] == 1) == (block == 500)
+
+
+def test_users_over_several_batches_stay_whole():
+    held = [(0, 1, 5, 2), (0, 1, 6, -1), (0, 2, 5, 1), (1, 2, 5, 3), (1, 2, 7, 0), (1, 2, 8, 1), (1, 3, 5, 1)]
+    names = ["sample", "event_user_id", "page", "edits"]
+    for size in (1, 2, 3, 7):
+        parts = [held[i : i + size] for i in range(0, len(held), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*part, strict=True)], names) for part in [*parts]]
+        got = [tuple(r.values()) for b in cells.user_lists(iter([batches[0].slice(0, 0), *batches])) for r in b.to_pylist()]
+        assert got == [(0, 1, [5, 6], [2, -1]), (0, 2, [5], [1]), (1, 2, [5, 7, 8], [3, 0, 1]), (1, 3, [5], [1])]
+    assert list(cells.user_lists(iter([]))) == []
